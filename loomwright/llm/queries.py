@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import chats, decontaminate, html_text, packing, quality, simhash, substrings, token_files, urls
+from loomwright.llm import chats, decontaminate, html_text, lm_score, packing, quality, simhash, substrings, token_files, urls
 from loomwright.session import written
 
 
@@ -24,6 +24,10 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2(spaced, 256).alias("kept_sha256"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -58,5 +62,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_substrings, op4_decontaminate, op5_quality, op6_url_filter, op7_chat_format, op8_html_text, op9_simhash, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_substrings, op3_lm_score, op4_decontaminate, op5_quality, op6_url_filter, op7_chat_format, op8_html_text, op9_simhash, op10_token_files)}
 ORACLES: dict[str, str] = {}
