@@ -16,6 +16,9 @@ PACKAGE = Path(__file__).resolve().parent
 
 _shipped: set[str] = set()
 
+#: Rows of an Arrow batch. Rows hold whole texts, and a batch stands in the memory of both the JVM and its worker.
+BATCH_ROWS = "1000"
+
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A session with the settings the engine is tested with; an existing one is reused."""
@@ -36,6 +39,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None)
 def ship(spark: SparkSession) -> None:
     """Give the executors this package when they cannot import it from PYTHONPATH."""
     context = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if context.applicationId in _shipped:
         return
     _shipped.add(context.applicationId)
