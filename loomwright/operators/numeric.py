@@ -296,7 +296,8 @@ def bases(x, knots, degree):
     first, last = knots[degree], knots[-degree - 1]
     x = F.least(F.greatest(x, F.lit(first)), F.lit(last))
     final = len(knots) - degree - 2
-    level = [F.when((x >= knots[i]) & ((x <= knots[i + 1]) if i == final else (x < knots[i + 1])), 1.0).otherwise(0.0) for i in range(len(knots) - 1)]
+    inside = lambda i: (x >= knots[i]) & ((x <= knots[i + 1]) if i == final else (x < knots[i + 1]))
+    level = [F.when(inside(i), 1.0).otherwise(0.0) if i <= final else F.lit(0.0) for i in range(len(knots) - 1)]
     for d in range(1, degree + 1):
         level = [
             (x - knots[i]) / (knots[i + d] - knots[i]) * level[i] + (knots[i + d + 1] - x) / (knots[i + d + 1] - knots[i + 1]) * level[i + 1]
