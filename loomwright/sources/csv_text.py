@@ -115,7 +115,12 @@ def read(spark: SparkSession, spec: dict) -> DataFrame:
         raise EngineError(f"{p['path']}: column {twice[0]!r} stands twice in the header")
     # Blank records have no fields for Python's reader but are lines all the same.
     first = header_line(text, sep, skip)
-    lines = with_rid(spark.read.option("encoding", encoding).text(p["path"]), ROW).where(F.col(ROW) >= first + bool(p["header"]))
+    if encoding.lower().replace("-", "") in ("utf8", "ascii"):
+        source = spark.read.text(p["path"])
+    else:  # the text source knows UTF-8 alone; the CSV one decodes, and passes over blank lines
+        source = spark.read.schema("value string").option("sep", "\u0001").option("quote", "").option("encoding", encoding).csv(p["path"])
+        first = sum(bool(line.strip()) for line in text.splitlines()[:first])
+    lines = with_rid(source, ROW).where(F.col(ROW) >= first + bool(p["header"]))
     lines = lines.where(F.trim("value") != "").withColumn("value", F.regexp_replace("value", "\r$", ""))
     lines = mixed_separators(lines, sep, p)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField("__bad", T.StringType())])
