@@ -118,7 +118,10 @@ def read(spark: SparkSession, spec: dict) -> DataFrame:
     if encoding.lower().replace("-", "") in ("utf8", "ascii"):
         source = spark.read.text(p["path"])
     else:  # the text source knows UTF-8 alone; the CSV one decodes, and passes over blank lines
-        source = spark.read.schema("value string").option("sep", "\u0001").option("quote", "").option("encoding", encoding).csv(p["path"])
+        source = spark.read.schema("value string").option("sep", "\u0001").option("quote", "").option("encoding", "iso-8859-1" if encoding == "cp1252" else encoding).csv(p["path"])
+        if encoding == "cp1252":  # Spark's charsets lack it: Latin-1 but for 32 control characters
+            pairs = [(chr(b), c) for b in range(0x80, 0xA0) if (c := bytes([b]).decode("cp1252", "ignore"))]
+            source = source.select(F.translate("value", *("".join(x) for x in zip(*pairs, strict=True))).alias("value"))
         first = sum(bool(line.strip()) for line in text.splitlines()[:first])
     lines = with_rid(source, ROW).where(F.col(ROW) >= first + bool(p["header"]))
     lines = lines.where(F.trim("value") != "").withColumn("value", F.regexp_replace("value", "\r$", ""))
