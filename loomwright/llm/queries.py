@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import chats, decontaminate, html_text, lm_score, packing, quality, simhash, substrings, token_files, urls
+from loomwright.llm import chats, decontaminate, html_text, lm_score, oracles, packing, quality, simhash, substrings, token_files, urls
 from loomwright.session import written
 
 
@@ -63,4 +63,4 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_substrings, op3_lm_score, op4_decontaminate, op5_quality, op6_url_filter, op7_chat_format, op8_html_text, op9_simhash, op10_token_files)}
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES
