@@ -4,13 +4,23 @@ A word is a run of bytes other than space and 0x09-0x0D, so UTF-8 text needs no
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Texts are handled together up to so many bytes; one longer text is handled alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
 
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -55,6 +65,8 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, lis
         size += len(text)
     if held:
         yield first, held
+    held = []
+    release()
 
 
 class Words:
