@@ -68,11 +68,12 @@ def slots(hashes: np.ndarray) -> np.ndarray:
     return np.stack([((hashes >> np.uint64(20 * k)) if k < 2 else mixed(hashes)) & np.uint64((1 << FILTER_BITS) - 1) for k in range(FILTER_HASHES)], axis=1).astype(np.int64)
 
 
-HITS = "hash long, doc_id long, pos int, span int, left int, words array<bigint>"
+ITEMS = "item_id long, words array<bigint>, hashes array<bigint>, places array<int>, spans array<int>"
+REGIONS = "doc_id long, start int, words array<bigint>, hashes array<bigint>, places array<int>, spans array<int>"
 
 
-def benchmark_seeds(items: DataFrame) -> DataFrame:
-    """(hash, item_id, item_pos, item_words): every seed of every item."""
+def benchmark_items(items: DataFrame) -> DataFrame:
+    """(item_id, words, hashes, places, spans): every item's words and seeds."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,16 +81,14 @@ def benchmark_seeds(items: DataFrame) -> DataFrame:
             for first, texts in slices(batch.column("text")):
                 words = Words([plain(t) for t in texts])
                 hashes = words.hashes()
-                for i in range(len(texts)):
-                    own = hashes[words.bounds[i] : words.bounds[i + 1]]
-                    for mask in masks_for(len(own)):
-                        seeds = mask_hashes(own, mask)
-                        at = np.arange(len(seeds))
-                        lo, hi = np.maximum(at - CONTEXT, 0), np.minimum(at + len(mask) + CONTEXT, len(own))
-                        near = [own[a:b].view(np.int64) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
-                        yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), pa.array([batch.column("item_id")[first + i].as_py()] * len(seeds), pa.int64()), pa.array(at, pa.int32()), pa.array([len(own)] * len(seeds), pa.int32()), pa.array([len(mask)] * len(seeds), pa.int32()), pa.array(at - lo, pa.int32()), pa.array(near, pa.list_(pa.int64()))], names=["hash", "item_id", "item_pos", "item_words", "item_span", "item_left", "item_near"])
+                own = [hashes[a:b] for a, b in zip(words.bounds, words.bounds[1:], strict=False)]
+                seeds = [[mask_hashes(w, m) for m in masks_for(len(w))] for w in own]
+                found = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in seeds]
+                places = [np.concatenate([np.arange(len(y)) for y in x]) if x else [] for x in seeds]
+                spans = [[len(masks_for(len(w))[0])] * len(f) if len(f) else [] for w, f in zip(own, found, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("item_id").slice(first, len(texts)), pa.array([w.view(np.int64) for w in own], pa.list_(pa.int64())), pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(spans, pa.list_(pa.int32()))], names=["item_id", "words", "hashes", "places", "spans"])
 
-    return rows.mapInArrow(run, "hash long, item_id long, item_pos int, item_words int, item_span int, item_left int, item_near array<bigint>")
+    return rows.mapInArrow(run, ITEMS)
 
 
 def build_filter(seeds: DataFrame) -> bytes:
@@ -109,8 +108,8 @@ def build_filter(seeds: DataFrame) -> bytes:
     return whole.tobytes()
 
 
-def training_hits(docs: DataFrame, bits: bytes, spans: list[int]) -> DataFrame:
-    """Positions of docs whose hash the filter lets pass, with the words around them."""
+def training_regions(docs: DataFrame, bits: bytes, spans: list[int]) -> DataFrame:
+    """Stretches of docs round positions whose hash the filter lets pass: their words once, and all their seeds' places."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(bits)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -123,6 +122,7 @@ def training_hits(docs: DataFrame, bits: bytes, spans: list[int]) -> DataFrame:
             for first, texts in slices(batch.column("text")):
                 words = Words([plain(t) for t in texts])
                 hashes = words.hashes()
+                found = []
                 for mask in masks:
                     n = len(hashes) - len(mask) + 1
                     if n < 1:
@@ -131,16 +131,24 @@ def training_hits(docs: DataFrame, bits: bytes, spans: list[int]) -> DataFrame:
                     bit = (seeds & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
                     at = np.flatnonzero(have[bit] & (words.doc[:n] == words.doc[len(mask) - 1 :]))
                     at = at[have[slots(seeds[at])].all(axis=1)] if len(at) else at
-                    if not len(at):
-                        continue
-                    doc = words.doc[at]
-                    lo = np.maximum(at - CONTEXT, words.bounds[:-1][doc])
-                    hi = np.minimum(at + len(mask) + CONTEXT, words.bounds[1:][doc])
-                    near = [hashes[a:b].view(np.int64) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
-                    pos = at - words.bounds[:-1][doc]
-                    yield pa.RecordBatch.from_arrays([pa.array(seeds[at].view(np.int64)), keys.take(pa.array(first + doc)), pa.array(pos, pa.int32()), pa.array([len(mask)] * len(at), pa.int32()), pa.array(at - lo, pa.int32()), pa.array(near, pa.list_(pa.int64()))], names=["hash", "doc_id", "pos", "span", "left", "words"])
-
-    return rows.mapInArrow(run, HITS)
+                    found.append((at, seeds[at], np.full(len(at), len(mask))))
+                if not sum(len(f[0]) for f in found):
+                    continue
+                at, seeds, size = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.argsort(at, kind="stable")
+                at, seeds, size = at[order], seeds[order], size[order]
+                doc = words.doc[at]
+                turn = np.concatenate([[0], np.flatnonzero((doc[1:] != doc[:-1]) | (at[1:] - at[:-1] > 2 * CONTEXT)) + 1, [len(at)]])
+                i, j = turn[:-1], turn[1:]
+                low = np.maximum(at[i] - CONTEXT, words.bounds[:-1][doc[i]])
+                high = np.minimum(at[j - 1] + SPAN + CONTEXT, words.bounds[1:][doc[i]])
+                spread = list(zip(i.tolist(), j.tolist(), low.tolist(), high.tolist(), strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [keys.take(pa.array(first + doc[i])), pa.array(low - words.bounds[:-1][doc[i]], pa.int32()), pa.array([hashes[a:b].view(np.int64) for _, _, a, b in spread], pa.list_(pa.int64())), pa.array([seeds[x:y].view(np.int64) for x, y, _, _ in spread], pa.list_(pa.int64())), pa.array([at[x:y] - a for x, y, a, _ in spread], pa.list_(pa.int32())), pa.array([size[x:y] for x, y, _, _ in spread], pa.list_(pa.int32()))],
+                    names=["doc_id", "start", "words", "hashes", "places", "spans"],
+                )
+
+    return rows.mapInArrow(run, REGIONS)
 
 
 def best_stretch(equal: np.ndarray, first: int, last: int) -> tuple[int, int]:
@@ -161,28 +169,37 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     doc_id or item_id can't be named and are left out. An item of fewer than LEAST_WORDS words counts
     where all its words stand in a row. Items without words match nothing."""
     ship(docs.sparkSession)
-    seeds = written(benchmark_seeds(items), "benchmark-seeds")
+    known = written(benchmark_items(items), "benchmark-items")
+    seeds = known.select("item_id", F.explode(F.arrays_zip("hashes", "places", "spans")).alias("s")).select("item_id", F.col("s.hashes").alias("hash"), F.col("s.places").alias("item_place"), F.col("s.spans").alias("item_span"))
     spans = sorted(r["item_span"] for r in seeds.select("item_span").distinct().collect())  # SPAN at most
-    hits = training_hits(docs.where("doc_id IS NOT NULL"), build_filter(seeds), spans)
-    pairs = hits.join(seeds, "hash").where("span = item_span").drop("hash")
+    regions = written(training_regions(docs.where("doc_id IS NOT NULL"), build_filter(seeds), spans), "regions").withColumn("region", F.xxhash64("doc_id", "start", "words"))
+    hits = regions.select("doc_id", "region", F.explode(F.arrays_zip("hashes", "places", "spans")).alias("s")).select("doc_id", "region", F.col("s.hashes").alias("hash"), F.col("s.places").alias("place"), F.col("s.spans").alias("span"))
+    met = hits.join(seeds, "hash").where("span = item_span").withColumn("diagonal", F.col("place") - F.col("item_place"))
+    # One row for each diagonal of a region and an item; its seeds' places go along.
+    pairs = met.groupBy("doc_id", "region", "item_id", "diagonal", "span").agg(F.collect_set("place").alias("places"))
+    texts = regions.select("doc_id", "region", "start", "words").dropDuplicates(["doc_id", "region"])
+    pairs = pairs.join(texts, ["doc_id", "region"]).join(known.select("item_id", F.col("words").alias("item")), "item_id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                near, other = np.array(r["words"]), np.array(r["item_near"])
-                back = min(r["left"], r["item_left"])
-                a, b = near[r["left"] - back :], other[r["item_left"] - back :]
-                n = min(len(a), len(b))
-                equal = a[:n] == b[:n]
-                i, j = best_stretch(equal, back, back + r["span"])
-                same = int(equal[i:j].sum())
-                if same >= LEAST_SHARE * (j - i) and j - i >= min(LEAST_WORDS, r["item_words"]):
-                    out.append((r["doc_id"], r["item_id"], r["pos"] - back + i, r["item_pos"] - back + i, j - i, same, r["item_words"]))
+                words, item, d = np.array(r["words"]), np.array(r["item"]), r["diagonal"]
+                low, high = max(0, d), min(len(words), len(item) + d)
+                equal = words[low:high] == item[low - d : high - d]
+                done = -1
+                for place in sorted(r["places"]):
+                    if place < done:
+                        continue  # inside the stretch before
+                    i, j = best_stretch(equal, place - low, place - low + r["span"])
+                    done = low + j
+                    same = int(equal[i:j].sum())
+                    if same >= LEAST_SHARE * (j - i) and j - i >= min(LEAST_WORDS, len(item)):
+                        out.append((r["doc_id"], r["item_id"], r["start"] + low + i, low + i - d, j - i, same, len(item)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.int32()) for k, c in enumerate(zip(*out, strict=True))], names=["doc_id", "item_id", "doc_start", "item_start", "n_words", "n_equal", "item_words"])
 
-    return pairs.mapInArrow(verify, FOUND).distinct()
+    return pairs.select("doc_id", "item_id", "start", "words", "item", "diagonal", "span", "places").mapInArrow(verify, FOUND).distinct()
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
