@@ -7,8 +7,8 @@
 3. A run's words are sent to its anchor's shard. A shard builds a compressed FM-index of its runs,
    streams them through by backward search over the wavelet matrix, and at each position where the
    match is long enough asks for the smallest document among the suffixes found.
-4. An anchor with over HOT runs is dealt to several shards; their windows' smallest documents are
-   then merged by the windows' 128-bit hashes.
+4. An anchor with over HOT runs is dealt to several shards; of each window only the shards' smallest
+   documents then meet, by the windows' 128-bit hashes.
 5. Flagged windows meet their documents again and their words are cut."""
 
 from __future__ import annotations
@@ -127,7 +127,7 @@ def cut_runs(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(run, "anchor long, salts long, doc_id long, tkey long, words binary, places array<int>")
 
 
-FOUND = "doc_id long, tkey long, place int, windows int, hot boolean, h1 array<bigint>, h2 array<bigint>"
+FOUND = "doc_id long, tkey long, place int, windows int, hot boolean, at array<int>, h1 array<bigint>, h2 array<bigint>"
 
 
 def search_shard(pieces: list[bytes], doc: np.ndarray, length: int) -> list[np.ndarray]:
@@ -151,7 +151,7 @@ def search_shard(pieces: list[bytes], doc: np.ndarray, length: int) -> list[np.n
 
 
 def search(pieces: DataFrame, length: int) -> DataFrame:
-    """Flagged stretches (doc_id, tkey, place, windows); windows of hot anchors that are not flagged yet, with hashes."""
+    """Flagged stretches (doc_id, tkey, place, windows); windows of hot anchors that are not flagged yet: their places from `place` and hashes."""
     salt = F.pmod(F.xxhash64("doc_id", "tkey"), F.col("salts"))
     rows = pieces.withColumn("salt", salt).repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "doc_id")
 
@@ -163,14 +163,15 @@ def search(pieces: DataFrame, length: int) -> DataFrame:
                 flags = low < doc_id
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
                 for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True):
-                    out += [(doc_id, tkey, p + a, b - a, False, None, None) for p in places]
-                if salts > 1:
-                    hashes = Words([piece]).hashes()
-                    h1, h2 = (window_hashes(hashes, length, seed).view(np.int64) for seed in (11, 12))
-                    out += [(doc_id, tkey, p, len(low), True, h1, h2) for p in places]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            columns = zip(*out, strict=True) if out else [[]] * 7
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "tkey", "place", "windows", "hot", "h1", "h2"])
+                    out += [(doc_id, tkey, p + a, b - a, False, None, None, None) for p in places]
+                # Where this is the shard's smallest document, another shard may have a smaller one.
+                if salts > 1 and not flags.all():
+                    hashes, at = Words([piece]).hashes(), np.flatnonzero(~flags)
+                    h1, h2 = (window_hashes(hashes, length, seed).view(np.int64)[at] for seed in (11, 12))
+                    out += [(doc_id, tkey, p, 0, True, at, h1, h2) for p in places]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            columns = zip(*out, strict=True) if out else [[]] * 8
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "tkey", "place", "windows", "hot", "at", "h1", "h2"])
 
         key, held, size = None, [], 0
         for batch in batches:
@@ -203,7 +204,7 @@ def marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     pieces = cut_runs(keyed(docs).join(asked, ["doc_id", "tkey"]).dropDuplicates(["doc_id", "tkey"]), length)
     found = written(search(pieces, length), "repeats")
     flagged = found.where("NOT hot").select("doc_id", "tkey", "place", "windows")
-    hot = found.where("hot").select("doc_id", "tkey", "place", F.posexplode(F.arrays_zip("h1", "h2")).alias("k", "h")).select("doc_id", "tkey", (F.col("place") + F.col("k")).alias("place"), "h.h1", "h.h2")
+    hot = found.where("hot").select("doc_id", "tkey", "place", F.explode(F.arrays_zip("at", "h1", "h2")).alias("h")).select("doc_id", "tkey", (F.col("place") + F.col("h.at")).alias("place"), "h.h1", "h.h2")
     smallest = hot.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
     late = hot.join(smallest, ["h1", "h2"]).where("least < doc_id").select("doc_id", "tkey", "place", F.lit(1).alias("windows"))
     spans = flagged.union(late).groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("place", (F.col("windows") + length - 1).alias("n"))).alias("spans"))
