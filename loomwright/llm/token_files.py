@@ -34,7 +34,14 @@ BLOCK = 4096
 FILE_IDS = 1 << 20
 
 HEAD = struct.Struct("<4sIIIQ")
-FILES = "part int, seq int, docs array<bigint>, ids long, body binary"
+FILES = "part int, start long, docs array<bigint>, ids long, body binary"
+
+
+def _widest(width: np.ndarray, shift: int, n: int) -> np.ndarray:
+    """At each position the larger of width here and shift further on (past the end: here)."""
+    out = width.copy()
+    np.maximum(width[: n - shift], width[shift:], out=out[: n - shift])
+    return out
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,19 +51,23 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     blocks = -(-n // BLOCK)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-    need = np.ones(n, dtype=np.int64)
-    for bit in (32, 16, 8, 4, 2, 1):
-        need += np.where(ids >> (need - 1 + bit).astype(np.uint64) > 0, bit, 0)
+    need = np.ones(n, dtype=np.uint8)
+    for bit in range(1, int(ids.max()).bit_length()):
+        need += ids >= np.uint64(1 << bit)
     # The selector at each position: the most ids that all fit from here to the block's end.
     left = np.minimum(BLOCK - np.arange(n) % BLOCK, n - np.arange(n))
-    chosen = np.full(n, ESCAPE, dtype=np.int64)
-    widest, span = need.copy(), 1
+    chosen = np.full(n, ESCAPE, dtype=np.uint8)
+    doubled = {1: need}
+    while 2 * (span := max(doubled)) <= min(COUNTS[0], n):
+        doubled[2 * span] = _widest(doubled[span], span, n)
     for selector in range(len(COUNTS) - 1, -1, -1):
-        while span < min(COUNTS[selector], n):
-            widest[: n - span] = np.maximum(widest[: n - span], need[span:])
-            span += 1
-        chosen[(widest <= WIDTHS[selector]) & (left >= COUNTS[selector])] = selector
-    steps = np.where(chosen == ESCAPE, 1, COUNTS[np.minimum(chosen, len(COUNTS) - 1)])
+        count = int(COUNTS[selector])
+        if count > n:
+            break
+        span = 1 << count.bit_length() - 1
+        widest = _widest(doubled[span], count - span, n) if count > span else doubled[span]
+        chosen[(widest <= WIDTHS[selector]) & (left >= count)] = selector
+    steps = np.append(COUNTS, [1, 1])[chosen]
     at = np.arange(blocks) * BLOCK
     ends = np.minimum(at + BLOCK, n)
     heads, owner = [], []
@@ -67,7 +78,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at[live] += steps[at[live]]
         live = live[at[live] < ends[live]]
     first = np.sort(np.concatenate(heads))
-    selector = chosen[first]
+    selector = chosen[first].astype(np.int64)
     wide = selector == ESCAPE
     slot = np.cumsum(1 + wide) - (1 + wide)
     words = np.zeros(len(first) + int(wide.sum()), dtype=np.uint64)
@@ -144,14 +155,14 @@ def encode_files(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seq = TaskContext.get().partitionId(), 0
+        part, start = TaskContext.get().partitionId(), 0
         own, ids, held = [], [], 0
         end = np.array([end_id], dtype="<u4").tobytes()
 
         def file() -> pa.RecordBatch:
             lengths = np.fromiter((len(x) // 4 for x in ids), dtype=np.int64, count=len(ids))
             body = write_file(lengths, np.frombuffer(b"".join(ids), "<u4"))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([own], pa.list_(pa.int64())), pa.array([int(lengths.sum())], pa.int64()), pa.array([body], pa.binary())], names=["part", "seq", "docs", "ids", "body"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([start], pa.int64()), pa.array([own], pa.list_(pa.int64())), pa.array([int(lengths.sum())], pa.int64()), pa.array([body], pa.binary())], names=["part", "start", "docs", "ids", "body"])
 
         for batch in batches:
             keys = batch.column("doc_id").to_pylist()
@@ -162,7 +173,8 @@ def encode_files(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                     held += len(raw) // 4 + 1
                     if held >= FILE_IDS:
                         yield file()
-                        own, ids, held, seq = [], [], 0, seq + 1
+                        start += held
+                        own, ids, held = [], [], 0
         if own:
             yield file()
 
@@ -180,9 +192,7 @@ def read_documents(files: DataFrame) -> DataFrame:
         before.append((row["part"], total))
         total += row["ids"]
     offsets = files.sparkSession.createDataFrame(before or [(0, 0)], "part int, part_start long")
-    within = files.select(F.col("part").alias("p"), F.col("seq").alias("s"), F.col("ids").alias("n"))
-    starts = files.select("part", "seq").join(within, (F.col("part") == F.col("p")) & (F.col("s") < F.col("seq")), "left").groupBy("part", "seq").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("file_start"))
-    placed = files.join(F.broadcast(offsets), "part").join(starts, ["part", "seq"]).select("docs", "body", (F.col("part_start") + F.col("file_start")).alias("start"))
+    placed = files.join(F.broadcast(offsets), "part").select("docs", "body", (F.col("part_start") + F.col("start")).alias("start"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
