@@ -19,6 +19,9 @@ from tokenizers import Tokenizer  # noqa: E402
 #: Pieces kept at most; about 250 bytes each.
 MOST_PIECES = 500_000
 
+#: Characters of a piece that stays when the rest are forgotten.
+SHORT = 9
+
 ODD = re.compile(r"[^\S \n]|[\x01\x1c-\x1f\x85᠎​-‏  ﻿]")
 
 #: Joins pieces for the library; no piece has it.
@@ -54,7 +57,7 @@ class Encoder:
         pieces = [p for p in pieces if p]
         out = {p: self.whole(p) for p in pieces if "\n" in p}
         pieces = [p for p in pieces if p not in out]
-        runs = [pieces[i : i + 200] for i in range(0, len(pieces), 200)]
+        runs = [pieces[i : i + 64] for i in range(0, len(pieces), 64)]
         for run, found in zip(runs, self.library.encode_batch_fast([self.joiner.join(r) for r in runs], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, dtype="<u4")
             cuts = np.flatnonzero(ids == self.mark)
@@ -78,10 +81,14 @@ class Encoder:
                 continue
             pieces = self.find(text.lower() if self.kind == "word" and text.isascii() else text)
             known = self.known
-            if new := [p for p in set(pieces) if p not in known]:
+            if new := list(set(pieces).difference(known)):
                 if len(known) + len(new) > MOST_PIECES:
+                    # Short pieces come again; long ones mostly don't.
+                    short = {k: v for k, v in known.items() if len(k) <= SHORT}
                     known.clear()
-                    new = list(set(pieces))
+                    if 2 * len(short) < MOST_PIECES:
+                        known.update(short)
+                    new = list(set(pieces).difference(known))
                 known.update(self.learn(new))
             out.append(b"".join(map(known.__getitem__, pieces)))
         return out

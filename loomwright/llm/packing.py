@@ -47,8 +47,17 @@ def cuts(ends: np.ndarray, sentence: np.ndarray, total: int, step: int = INSIDE_
 
 def best_windows(at: np.ndarray, penalty: np.ndarray, most: int = MOST) -> list[int]:
     """Cut positions of the cheapest windows; the last may be open (its padding counts as any)."""
-    place = {p: k for k, p in enumerate(at.tolist())}
-    powers = [1 << k for k in range(most.bit_length()) if 1 << k <= most]
+    # Windows of a power of two: (last cut, first cut) where both are cuts, in order of the last.
+    lasts, firsts = [], []
+    for p in (1 << k for k in range(most.bit_length()) if 1 << k <= most):
+        k = np.searchsorted(at, at - p)
+        met = np.flatnonzero(at[k] == at - p)
+        lasts.append(met)
+        firsts.append(k[met])
+    lasts, firsts = np.concatenate(lasts), np.concatenate(firsts)
+    order = np.argsort(lasts, kind="stable")
+    exact = firsts[order].tolist()
+    begin = np.searchsorted(lasts[order], np.arange(len(at) + 1)).tolist()
     at, penalty = at.tolist(), penalty.tolist()
     cost, back = [0.0] * len(at), [0] * len(at)
     queue: deque[int] = deque([0])
@@ -58,9 +67,8 @@ def best_windows(at: np.ndarray, penalty: np.ndarray, most: int = MOST) -> list[
             queue.popleft()
         i = queue[0]
         least, whence = cost[i] + at[i] + most - here, i  # what each window costs anyway is added below
-        for p in powers:
-            k = place.get(here - p)
-            if k is not None and cost[k] < least:
+        for k in exact[begin[j] : begin[j + 1]]:
+            if cost[k] < least:
                 least, whence = cost[k], k
         cost[j], back[j] = least + penalty[j] + SEQUENCE_COST, whence
         key = cost[j] + here
