@@ -4,8 +4,8 @@ Every document gets counts (one pass, whole texts). Each ratio's distribution is
 quantile sketch: counts of logarithmic buckets, exact to 1 % of a value, merged by adding counts, so
 any split of the rows gives the same sketch. Sketches of (lang, source) merge into those of lang and
 of all rows; a group of under LEAST_DOCS documents takes the next wider one. A threshold is an outer
-fence, upper quartile + FENCE x spread, held between two guard rails, so that a source full of junk
-can't vouch for itself and an even one doesn't reject harmless tails."""
+fence, upper quartile + FENCE x spread. The spread counts as some least width, so that an even source
+doesn't reject harmless tails; a guard rail above keeps a source full of junk from vouching for itself."""
 
 from __future__ import annotations
 
@@ -36,19 +36,19 @@ MOST_BROADCAST = 50_000
 
 @dataclass(frozen=True)
 class Rule:
-    """A ratio (numerator / denominator) that fails beyond its threshold, itself kept within low .. high."""
+    """A ratio (numerator / denominator) that fails beyond its threshold: at least `width` above its group's upper quartile, at most high."""
 
     name: str
     numerator: str
     denominator: str
-    low: float
+    width: float
     high: float
 
 
 RULES = (
-    Rule("symbol_share", "n_symbols", "word_chars", 0.20, 0.30),
+    Rule("symbol_share", "n_symbols", "word_chars", 0.04, 0.30),
     Rule("dup_line_share", "n_dup_lines", "n_lines", 0.50, 0.80),
-    Rule("word_length", "word_chars", "n_words", 15.0, 60.0),
+    Rule("word_length", "word_chars", "n_words", 2.0, 60.0),
 )
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -144,11 +144,11 @@ def quartiles(sketches: DataFrame, *by: str) -> DataFrame:
 
 
 def limit():
-    """The fence of a row of quartiles, within its rule's guard rails."""
-    fence = F.col("q75") + FENCE * (F.col("q75") - F.col("q25"))
+    """The fence of a row of quartiles, at most its rule's guard rail."""
+    spread = FENCE * (F.col("q75") - F.col("q25"))
     out = F.lit(None).cast("double")
     for rule in RULES:
-        out = F.when(F.col("rule") == rule.name, F.greatest(F.lit(rule.low), F.least(F.lit(rule.high), fence))).otherwise(out)
+        out = F.when(F.col("rule") == rule.name, F.least(F.lit(rule.high), F.col("q75") + F.greatest(F.lit(rule.width), spread))).otherwise(out)
     return out
 
 

@@ -46,6 +46,22 @@ def test_junk_goes_and_clean_documents_stay(spark):
     assert all(found[i] == (False, i % 10 != 0) for i in range(1000))
 
 
+def test_sources_get_their_own_limits(spark):
+    """Source a has no symbols, source b 5 to 9 % of them: a tenth is too much for a alone."""
+    plain = lambda i, n: [f"word{i * 7 % 89}x{k * 31 % 997}" for k in range(n)]
+    marked = lambda i, every: " ".join(w + "#" * (k % every == 0) for k, w in enumerate(plain(i, 90)))
+    rows = [(i, " ".join(plain(i, 90)), "en", "a", 0, None, None) for i in range(250)]
+    rows += [(1000 + i, marked(i, 1 + i % 2), "en", "b", 0, None, None) for i in range(250)]
+    rows += [(2000, marked(3, 1), "en", "a", 0, None, None), (2001, marked(3, 1), "en", "b", 0, None, None)]
+    counted = quality.features(docs(spark, rows))
+    limits = {r["source"]: r for r in quality.thresholds(quality.sketch(counted)).collect()}
+    assert limits["a"]["__max_symbol_share"] == pytest.approx(0.04) and 0.2 < limits["b"]["__max_symbol_share"] <= 0.3
+    assert limits["a"]["__max_word_length"] < limits["b"]["__max_word_length"] < 15
+    found = verdicts(spark, rows)
+    assert found[2000] == (False, False) and found[2001] == (False, True)
+    assert all(found[i][1] for i in found if i not in (2000,))
+
+
 def test_base_rules_and_nulls(spark):
     found = verdicts(spark, awkward())
     assert found[0] == (True, False) and found[1] == (True, False) and found[5] == (True, False)
