@@ -56,6 +56,28 @@ def test_similar_documents_against_brute_force(spark):
     assert sure > 100 and missed <= 0.01 * sure and wrong == 0
 
 
+def test_the_bar_itself(spark):
+    """Pairs of 0.80 or little more are linked, pairs just below are not; short texts too."""
+    rng = random.Random(11)
+    rows, want = [], {}
+    for k in range(160):
+        n = rng.choice([8, 9, 10, 12, 14, 20, 60, 150, 500])
+        base = [f"p{k}x{rng.randrange(10**6)}" for _ in range(n)]
+        other = list(base)
+        # Words at the end go one by one until the index is at the bar; of every second pair one goes beyond it.
+        while len(gram(" ".join(other[:-1]))) >= 0.8 * len(gram(" ".join(base))):
+            other.pop()
+        if k % 2:
+            other.pop()
+        a, b = gram(" ".join(base)), gram(" ".join(other))
+        rows += [row(2 * k, " ".join(base)), row(2 * k + 1, " ".join(other))]
+        want[2 * k + 1] = 2 * k if len(a & b) / len(a | b) >= 0.8 else 2 * k + 1
+    got = {r.doc_id: r.component_id for r in similar.similar_documents(docs(spark, rows)).collect()}
+    wrong = {i for i in want if got[i] != want[i] and want[i] == i}
+    missed = {i for i in want if got[i] != want[i] and want[i] != i}
+    assert not wrong and len(missed) <= 1
+
+
 def test_hot_groups_are_dealt(spark, monkeypatch):
     monkeypatch.setattr(similar, "GROUP", 7)
     rng = random.Random(6)
