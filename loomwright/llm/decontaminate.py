@@ -1,12 +1,15 @@
 """Benchmark decontamination by spaced seeds.
 
-A seed is a fixed mask over SPAN consecutive words of which only some are hashed, so a match survives
-substituted words at the ignored places; the masks together leave no place compared by all. Hashes of
-every benchmark position meet those of every training position. A Bloom filter of fixed size, made of
+A seed is a fixed mask over up to SPAN consecutive words of which only some are hashed, so a match
+survives substituted words at the ignored places. The masks are chosen by enumeration: wherever the
+bar lets words be substituted, one mask at least has only equal words somewhere in the stretch. (A
+stretch of 24 words or more holds a shorter one that meets the bar, so 12 .. 23 words are all there is
+to enumerate.) Hashes of every benchmark position meet those of every training position. A Bloom filter of fixed size, made of
 the benchmark's hashes, is all that is broadcast: positions it turns away never leave their task, the
 rest meet the benchmark in an equi-join. Each hit is verified where it lies: on its diagonal the two
 texts are compared word by word, and the best-scoring stretch round the seed, with substitutions,
-must hold LEAST_WORDS words of which LEAST_SHARE are equal.
+must hold LEAST_WORDS words of which LEAST_SHARE are equal; where it doesn't, the longest stretch of
+the diagonal that does counts.
 
 Words are runs without white space, with ASCII punctuation removed and A-Z in lower case."""
 
@@ -26,7 +29,9 @@ from loomwright.session import ship, written
 
 SPAN = 12
 #: 1: the word is hashed; 0: it is ignored.
-MASKS = ("110110110111", "111011011011", "101111101101", "111101110110")
+MASKS = ("1110111", "11100001011", "110110011")
+#: Masks of items of 10 and 11 words, of which two may be substituted.
+SHORT_MASKS = {10: ("1111011", "11001111", "110110011", "11110101", "10101111"), 11: ("1110111", "111001011", "1011111", "111111")}
 LEAST_WORDS = 12
 LEAST_SHARE = 0.8
 #: Words kept on either side of a hit for its verification.
@@ -46,8 +51,14 @@ def plain(text: bytes) -> bytes:
 
 
 def masks_for(length: int) -> tuple[str, ...]:
-    """Masks of an item of so many words: those of SPAN, or all its words if it is shorter."""
-    return MASKS if length >= SPAN else ("1" * length,) * bool(length)
+    """Masks of an item of so many words. Of 5 to 9 words one may be substituted: all but each one; of fewer, none."""
+    if length >= SPAN:
+        return MASKS
+    if length in SHORT_MASKS:
+        return SHORT_MASKS[length]
+    if length >= 5:
+        return tuple("1" * k + "0" + "1" * (length - 1 - k) for k in range(length))
+    return ("1" * length,) * bool(length)
 
 
 def mask_hashes(words: np.ndarray, mask: str) -> np.ndarray:
@@ -85,7 +96,7 @@ def benchmark_items(items: DataFrame) -> DataFrame:
                 seeds = [[mask_hashes(w, m) for m in masks_for(len(w))] for w in own]
                 found = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in seeds]
                 places = [np.concatenate([np.arange(len(y)) for y in x]) if x else [] for x in seeds]
-                spans = [[len(masks_for(len(w))[0])] * len(f) if len(f) else [] for w, f in zip(own, found, strict=True)]
+                spans = [[len(m) for m, y in zip(masks_for(len(w)), x, strict=True) for _ in y] for w, x in zip(own, seeds, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("item_id").slice(first, len(texts)), pa.array([w.view(np.int64) for w in own], pa.list_(pa.int64())), pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(spans, pa.list_(pa.int32()))], names=["item_id", "words", "hashes", "places", "spans"])
 
     return rows.mapInArrow(run, ITEMS)
@@ -108,12 +119,11 @@ def build_filter(seeds: DataFrame) -> bytes:
     return whole.tobytes()
 
 
-def training_regions(docs: DataFrame, bits: bytes, spans: list[int]) -> DataFrame:
+def training_regions(docs: DataFrame, bits: bytes, masks: list[str]) -> DataFrame:
     """Stretches of docs round positions whose hash the filter lets pass: their words once, and all their seeds' places."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(bits)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    masks = [m for n in spans for m in (MASKS if n == SPAN else ("1" * n,))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = np.unpackbits(np.frombuffer(shared.value, dtype=np.uint8)).view(bool)
@@ -159,6 +169,18 @@ def best_stretch(equal: np.ndarray, first: int, last: int) -> tuple[int, int]:
     return first - int(before.argmax()), last + int(after.argmax())
 
 
+def longest_stretch(equal: np.ndarray) -> tuple[int, int]:
+    """(begin, end) of the first longest stretch of which LEAST_SHARE are equal; (0, 0) if there is none."""
+    # In whole numbers: an equal word counts 1, a substituted one -4.
+    upto = np.concatenate([[0], np.cumsum(np.where(equal, 1, -round(LEAST_SHARE / (1 - LEAST_SHARE))))])
+    # The least begin whose sum is at most that of an end: begins that are new lows are all that matter.
+    lows = np.minimum.accumulate(upto)
+    begin = np.searchsorted(-lows, -upto)
+    size = np.arange(len(upto)) - begin
+    end = int(size.argmax())
+    return (int(begin[end]), end) if size[end] > 0 else (0, 0)
+
+
 FOUND = "doc_id long, item_id long, doc_start int, item_start int, n_words int, n_equal int, item_words int"
 
 
@@ -167,12 +189,13 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     One row for each stretch; positions count words. Null or empty texts have none; rows with a null
     doc_id or item_id can't be named and are left out. An item of fewer than LEAST_WORDS words counts
-    where all its words stand in a row. Items without words match nothing."""
+    where it stands whole, LEAST_SHARE of its words equal. Items without words match nothing."""
     ship(docs.sparkSession)
     known = written(benchmark_items(items), "benchmark-items")
     seeds = known.select("item_id", F.explode(F.arrays_zip("hashes", "places", "spans")).alias("s")).select("item_id", F.col("s.hashes").alias("hash"), F.col("s.places").alias("item_place"), F.col("s.spans").alias("item_span"))
-    spans = sorted(r["item_span"] for r in seeds.select("item_span").distinct().collect())  # SPAN at most
-    regions = written(training_regions(docs.where("doc_id IS NOT NULL"), build_filter(seeds), spans), "regions").withColumn("region", F.xxhash64("doc_id", "start", "words"))
+    lengths = known.select(F.least(F.size("words"), F.lit(SPAN)).alias("n")).distinct().collect()  # SPAN and one at most
+    masks = sorted({m for r in lengths for m in masks_for(r["n"])})
+    regions = written(training_regions(docs.where("doc_id IS NOT NULL"), build_filter(seeds), masks), "regions").withColumn("region", F.xxhash64("doc_id", "start", "words"))
     hits = regions.select("doc_id", "region", F.explode(F.arrays_zip("hashes", "places", "spans")).alias("s")).select("doc_id", "region", F.col("s.hashes").alias("hash"), F.col("s.places").alias("place"), F.col("s.spans").alias("span"))
     met = hits.join(seeds, "hash").where("span = item_span").withColumn("diagonal", F.col("place") - F.col("item_place"))
     # One row for each diagonal of a region and an item; its seeds' places go along.
@@ -187,15 +210,19 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
                 words, item, d = np.array(r["words"]), np.array(r["item"]), r["diagonal"]
                 low, high = max(0, d), min(len(words), len(item) + d)
                 equal = words[low:high] == item[low - d : high - d]
-                done = -1
+                done, least, kept = -1, min(LEAST_WORDS, len(item)), len(out)
                 for place in sorted(r["places"]):
                     if place < done:
                         continue  # inside the stretch before
                     i, j = best_stretch(equal, place - low, place - low + r["span"])
                     done = low + j
                     same = int(equal[i:j].sum())
-                    if same >= LEAST_SHARE * (j - i) and j - i >= min(LEAST_WORDS, len(item)):
+                    if same >= LEAST_SHARE * (j - i) and j - i >= least:
                         out.append((r["doc_id"], r["item_id"], r["start"] + low + i, low + i - d, j - i, same, len(item)))
+                if len(out) == kept:
+                    i, j = longest_stretch(equal)
+                    if j - i >= least:
+                        out.append((r["doc_id"], r["item_id"], r["start"] + low + i, low + i - d, j - i, int(equal[i:j].sum()), len(item)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.int32()) for k, c in enumerate(zip(*out, strict=True))], names=["doc_id", "item_id", "doc_start", "item_start", "n_words", "n_equal", "item_words"])
 

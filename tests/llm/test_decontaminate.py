@@ -1,6 +1,9 @@
 from __future__ import annotations
 
 import random
+from itertools import combinations
+
+import pytest
 
 from loomwright.llm import decontaminate as d
 from tests.llm.common import SF, awkward, docs
@@ -34,6 +37,44 @@ def test_substitutions_are_tolerated(spark):
     assert all(a == b for a, b in got)
 
 
+@pytest.mark.parametrize("length", [5, 8, 9, 10, 11, *range(12, 24)])
+def test_masks_reach_every_placement_the_bar_allows(length):
+    masks = [(len(m), int(m[::-1], 2)) for m in d.masks_for(length)]
+    for gone in combinations(range(length), length // 5):
+        equal = (1 << length) - 1 - sum(1 << k for k in gone)
+        assert any(equal >> at & m == m for n, m in masks for at in range(length - n + 1)), gone
+
+
+def test_substitutions_up_to_the_bar(spark):
+    """Every placement of 3 in 15 words but some, every fifth of any length, and 2 of 10 words; one more is too many."""
+    noise = lambda k: " ".join(f"n{k}x{j}" for j in range(30))
+    cases = [(15, c) for c in list(combinations(range(15), 3))[::9]]
+    cases += [(n, tuple(range(first, n, 5))) for n in (14, 15, 40, 60) for first in (2, 4) if len(range(first, n, 5)) <= n // 5]
+    cases += [(10, (2, 7)), (11, (0, 10)), (6, (3,)), (10, (1, 4, 8)), (15, (2, 5, 8, 11)), (5, (1, 3))]
+    items, rows, want = [], [], set()
+    for k, (n, gone) in enumerate(cases):
+        own = [f"i{k}w{j}" for j in range(n)]
+        items.append((k, " ".join(own)))
+        rows.append(row(k, f"{noise(k)} {' '.join('other' if j in gone else w for j, w in enumerate(own))} {noise(k)}"))
+        sub = lambda a, b: sum(a <= g < b for g in gone)
+        if any(5 * sub(a, b) <= b - a for a in range(n) for b in range(a + min(12, n), n + 1)):
+            want.add((k, k))
+    got = found(spark, rows, items)
+    assert set(got) == want and len(want) == len(cases) - 3
+
+
+def test_longest_stretch():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        equal = rng.random(rng.integers(0, 30)) < 0.75
+        n = len(equal)
+        best = max([b - a for a in range(n) for b in range(a + 1, n + 1) if 5 * int(equal[a:b].sum()) >= 4 * (b - a)], default=0)
+        i, j = d.longest_stretch(equal)
+        assert j - i == best and 5 * int(equal[i:j].sum()) >= 4 * (j - i)
+
+
 def test_every_exact_passage_is_found(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet")
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
