@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,9 +15,10 @@ from loomwright.errors import EngineError
 from loomwright.functions import groups
 from loomwright.functions.formula import compile_formula
 from loomwright.operators.base import INTEGRAL, NUMERIC, REQUIRED, col, kind, need, need_numeric, num, row_order, transform, with_values
+from loomwright.session import shared_folder
 
-#: Rows of train that impute_knn keeps in its state, by the rows' hash: a documented bound.
-MOST_NEIGHBOURS = 10_000
+#: Rows of a block in which impute_knn searches at once.
+TRAIN_BLOCK, ASKED_BLOCK = 10_000, 256
 MISSING = "MISSING"
 STATISTICS = ("median", "mean", "most_frequent")
 
@@ -89,50 +93,103 @@ def impute(df, p, state):
     return with_values(df, out | flags)
 
 
+def knn_blocks(rows, width: int, most: int):
+    """(n, keys, x): rows (key, c0 ..) in blocks of at most `most`, x as float64 rows of `width`, missing as NaN."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(held: pa.Table) -> pa.RecordBatch:
+            x = np.column_stack([held.column(f"c{i}").to_numpy() for i in range(width)]).astype(float)
+            return pa.RecordBatch.from_arrays([pa.array([len(x)], pa.int64()), pa.array([held.column("key").to_numpy().tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["n", "keys", "x"])
+
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            while batch.num_rows:
+                held.append(batch.slice(0, most - size))
+                size += held[-1].num_rows
+                batch = batch.slice(held[-1].num_rows)
+                if size == most:
+                    yield block(pa.Table.from_batches(held))
+                    held, size = [], 0
+        if size:
+            yield block(pa.Table.from_batches(held))
+
+    return rows.mapInArrow(run, "n long, keys binary, x binary")
+
+
+def knn_rows(df, names):
+    """(key, c0 ..): numbers of every row; the key is a hash that settles ties."""
+    key = F.xxhash64(*[F.coalesce(num(c), F.lit(-1e300)) for c in names])
+    return df.select(key.alias("key"), *[num(c).alias(f"c{i}") for i, c in enumerate(names)])
+
+
 def fit_knn(df, p):
-    need_numeric(df, *p["columns"])
-    rows = df.select(*[num(c).alias(c) for c in p["columns"]]).where(F.coalesce(*[num(c) for c in p["columns"]]).isNotNull())
-    key = F.xxhash64(*[F.coalesce(num(c), F.lit(-1e300)) for c in p["columns"]])
-    kept = rows.orderBy(key).limit(MOST_NEIGHBOURS).collect()
-    return {"rows": [list(r) for r in kept], "means": list(df.agg(*[F.avg(num(c)) for c in p["columns"]]).first())}
+    names = list(p["columns"])
+    need_numeric(df, *names)
+    some = F.coalesce(*[F.col(f"c{i}") for i in range(len(names))]).isNotNull()
+    path = f"{shared_folder(df.sparkSession)}/knn-{uuid.uuid4().hex}"
+    knn_blocks(knn_rows(df, names).where(some), len(names), TRAIN_BLOCK).write.parquet(path)
+    return {"blocks": path, "means": list(df.agg(*[F.avg(num(c)) for c in names]).first())}
 
 
 @transform("impute_knn", fit=fit_knn, columns=REQUIRED, n_neighbors=5, weights="uniform")
 def impute_knn(df, p, state):
-    """The mean of the nearest train rows that have the value; distances skip missing entries and scale up for them."""
-    names, train = list(p["columns"]), np.array(state["rows"], dtype=float)
+    """The mean of the nearest of all train rows that have the value; distances skip missing entries and scale up for them.
+
+    Train rows are blocks of a table in the shared folder. Each distinct row with a missing value
+    meets every block once, and the k nearest of each are merged; the work is their product."""
+    names = list(p["columns"])
     need_numeric(df, *names)
-    means, k, weights = np.array([np.nan if m is None else m for m in state["means"]]), p["n_neighbors"], p["weights"]
-
-    def solve(*series: pd.Series) -> pd.DataFrame:
-        x = np.column_stack([s.to_numpy(dtype=float, na_value=np.nan) for s in series])
-        out = x.copy()
-        for i in np.flatnonzero(np.isnan(x).any(axis=1)):
-            both = ~np.isnan(train) & ~np.isnan(x[i])
-            n = both.sum(axis=1)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                far = np.sqrt(np.where(both, (np.nan_to_num(train) - np.nan_to_num(x[i])) ** 2, 0).sum(axis=1) * len(names) / n)
-            far[n == 0] = np.inf
-            for j in np.flatnonzero(np.isnan(x[i])):
-                usable = np.flatnonzero(~np.isnan(train[:, j]) & np.isfinite(far))
-                if not len(usable):
-                    out[i, j] = means[j]
-                    continue
-                near = usable[np.argsort(far[usable], kind="stable")[:k]]
-                if weights == "distance":
-                    d = far[near]
-                    w = (d == 0).astype(float) if (d == 0).any() else 1 / d
-                else:
-                    w = np.ones(len(near))
-                out[i, j] = (train[near, j] * w).sum() / w.sum()
-        return pd.DataFrame(out, columns=names)
-
-    udf = F.pandas_udf(solve, T.StructType([T.StructField(c, T.DoubleType()) for c in names]))
-    missing = num(names[0]).isNull()
-    for c in names[1:]:
-        missing = missing | num(c).isNull()
-    tagged = df.withColumn("__knn", F.when(missing, udf(*[num(c) for c in names])))
-    return with_values(tagged, {c: F.coalesce(num(c), F.col("__knn")[c]) for c in names}).drop("__knn")
+    spark, width, k = df.sparkSession, len(names), p["n_neighbors"]
+    own = [f"c{i}" for i in range(width)]
+    missing = F.lit(False)
+    for c in own:
+        missing = missing | F.col(c).isNull()
+    asked = knn_blocks(knn_rows(df, names).where(missing).distinct(), width, ASKED_BLOCK).select(F.col("x").alias("asked"))
+    train = spark.read.schema("n long, keys binary, x binary").parquet(state["blocks"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q, t, key in zip(*(batch.column(c) for c in ("asked", "x", "keys")), strict=True):
+                wanted = np.frombuffer(q.as_py()).reshape(-1, width)
+                rows, keys = np.frombuffer(t.as_py()).reshape(-1, width), np.frombuffer(key.as_py(), dtype=np.int64)
+                have, zeroed = ~np.isnan(rows), np.nan_to_num(rows)
+                out: list[tuple] = []
+                for x in wanted:
+                    both = have & ~np.isnan(x)
+                    n = both.sum(axis=1)
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        far = np.sqrt(np.where(both, (zeroed - np.nan_to_num(x)) ** 2, 0).sum(axis=1) * width / n)
+                    far[n == 0] = np.inf
+                    for j in np.flatnonzero(np.isnan(x)).tolist():
+                        usable = np.flatnonzero(have[:, j] & np.isfinite(far))
+                        if len(usable) > k:
+                            usable = usable[far[usable] <= np.partition(far[usable], k - 1)[k - 1]]
+                        near = usable[np.lexsort((rows[usable, j], keys[usable], far[usable]))[:k]]
+                        if len(near):
+                            out.append((x, j, [{"far": a, "key": b, "value": c} for a, b, c in zip(far[near].tolist(), keys[near].tolist(), rows[near, j].tolist(), strict=True)]))
+                if out:
+                    x = np.array([o[0] for o in out])
+                    columns = [pa.array(x[:, i], from_pandas=True) for i in range(width)]
+                    kinds = pa.list_(pa.struct([("far", pa.float64()), ("key", pa.int64()), ("value", pa.float64())]))
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], kinds)], names=[*own, "j", "near"])
+
+    schema = ", ".join([*(f"{c} double" for c in own), "j int, near array<struct<far:double, key:bigint, value:double>>"])
+    best = asked.crossJoin(train).select("asked", "x", "keys").mapInArrow(run, schema)
+    best = best.groupBy(*own, "j").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    exact = F.filter("near", lambda e: e["far"] == 0)
+    total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, e: s + f(e))
+    plain = lambda a: total(a, lambda e: e["value"]) / F.size(a)
+    value = plain(F.col("near"))
+    if p["weights"] == "distance":
+        value = F.when(F.size(exact) > 0, plain(exact)).otherwise(total(F.col("near"), lambda e: e["value"] / e["far"]) / total(F.col("near"), lambda e: 1 / e["far"]))
+    fills = best.withColumn("value", value).groupBy(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(own)]).agg(*[F.max(F.when(F.col("j") == i, F.col("value"))).alias(f"__fill{i}") for i in range(width)])
+    same = F.lit(True)
+    for i, c in enumerate(names):
+        same = same & num(c).eqNullSafe(F.col(f"__c{i}"))
+    joined = df.join(fills, same, "left")
+    filled_in = {c: F.coalesce(num(c), F.col(f"__fill{i}"), F.lit(state["means"][i]).cast("double")) for i, c in enumerate(names)}
+    return with_values(joined, filled_in).drop(*[f"__c{i}" for i in range(width)], *[f"__fill{i}" for i in range(width)])
 
 
 def regress(df, names, target, current):
