@@ -150,6 +150,11 @@ def search_shard(pieces: list[bytes], doc: np.ndarray, length: int) -> list[np.n
     return [flat[offset[i] : offset[i + 1]] for i in range(len(out))]
 
 
+def wide_hashes(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each window, from independent hashes of its words: 128 bits together."""
+    return tuple(window_hashes(words.hashes(lane), length, 11 + lane) for lane in (0, 1))
+
+
 def search(pieces: DataFrame, length: int) -> DataFrame:
     """Flagged stretches (doc_id, tkey, place, windows); windows of hot anchors that are not flagged yet: their places from `place` and hashes."""
     salt = F.pmod(F.xxhash64("doc_id", "tkey"), F.col("salts"))
@@ -166,8 +171,8 @@ def search(pieces: DataFrame, length: int) -> DataFrame:
                     out += [(doc_id, tkey, p + a, b - a, False, None, None, None) for p in places]
                 # Where this is the shard's smallest document, another shard may have a smaller one.
                 if salts > 1 and not flags.all():
-                    hashes, at = Words([piece]).hashes(), np.flatnonzero(~flags)
-                    h1, h2 = (window_hashes(hashes, length, seed).view(np.int64)[at] for seed in (11, 12))
+                    own, at = Words([piece]), np.flatnonzero(~flags)
+                    h1, h2 = (h.view(np.int64)[at] for h in wide_hashes(own, length))
                     out += [(doc_id, tkey, p, 0, True, at, h1, h2) for p in places]
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
             columns = zip(*out, strict=True) if out else [[]] * 8

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loomwright.llm import substrings
 from loomwright.llm.fm_index import FMIndex, WaveletMatrix
+from loomwright.llm.text import Words
 from tests.llm.common import SF, awkward, docs, words
 
 
@@ -104,3 +105,19 @@ def test_query_digest(spark):
     text = "a  b\n c"
     spaced = docs(spark, [row(1, text)]).select(F.sha2(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), 256).alias("h")).first().h
     assert spaced == hashlib.sha256(b"a b c").hexdigest()
+
+
+def test_windows_that_agree_in_one_lane_differ_in_the_other():
+    """The two hashes of a hot anchor's window come from two hashes of its words: neither is a function of the other."""
+    class Agreeing(Words):
+        def __init__(self, texts, same):
+            super().__init__(texts)
+            self.same = same
+
+        def hashes(self, lane=0):
+            return np.zeros(len(self), dtype=np.uint64) if lane == self.same else super().hashes(lane)
+
+    text = " ".join(f"w{i}" for i in range(200)).encode()
+    for same in (0, 1):
+        pair = substrings.wide_hashes(Agreeing([text], same), 50)
+        assert len(set(pair[same].tolist())) == 1 and len(set(pair[1 - same].tolist())) == 151
