@@ -23,6 +23,8 @@ RARE_PERCENT = 1.0
 BINS = 30
 #: Frames of more rows get approximate distinct counts and quartiles.
 EXACT_ROWS = 1_000_000
+#: There a column of at most so many distinct values by its estimate is counted exactly all the same.
+EXACT_DISTINCT = 100_000
 
 ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
 MONEY = r"^[+-]?\d{1,3}(?:[,. \x{A0}\x{202F}]\d{3})*(?:[.,]\d+)?%?$"
@@ -65,6 +67,12 @@ def facts(df: DataFrame, exact: bool | None = None) -> dict[str, dict]:
                 F.sum(money.rlike(MONEY).cast("int")).alias(f"money{i}"), F.count_if(x.rlike(r"\s")).alias(f"spaced{i}"), F.max(F.length(x)).alias(f"long{i}"),
             ]
     row = df.agg(*wanted).first().asDict()
+    if not exact:
+        again = [i for i in range(len(names_of(df))) if row[f"distinct{i}"] <= EXACT_DISTINCT]
+        if again:
+            row |= df.agg(*[F.count_distinct(plain(df, names_of(df)[i])).alias(f"distinct{i}") for i in again]).first().asDict()
+        # An estimate may exceed the values that there are.
+        row |= {f"distinct{i}": min(row[f"distinct{i}"], row[f"n{i}"]) for i in range(len(names_of(df)))}
     out = {}
     for i, name in enumerate(names_of(df)):
         own = {k.removesuffix(str(i)): v for k, v in row.items() if k != "rows" and k.rstrip("0123456789") + str(i) == k}
@@ -106,9 +114,9 @@ def semantic_type(f: dict) -> str:
     return "text" if ratio > TEXT_RATIO else "categorical"
 
 
-def column_profile(df: DataFrame) -> DataFrame:
-    """(column, dtype, semantic, rows, missing, unique)."""
-    rows = [(c, f["dtype"].simpleString(), semantic_type(f), f["rows"], f["rows"] - f["n"], f["distinct"]) for c, f in facts(df).items()]
+def column_profile(df: DataFrame, exact: bool | None = None) -> DataFrame:
+    """(column, dtype, semantic, rows, missing, unique); exact or estimated distinct counts, by default as facts decides."""
+    rows = [(c, f["dtype"].simpleString(), semantic_type(f), f["rows"], f["rows"] - f["n"], f["distinct"]) for c, f in facts(df, exact).items()]
     return df.sparkSession.createDataFrame(rows, "column string, dtype string, semantic string, rows long, missing long, n_unique long")
 
 

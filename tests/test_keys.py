@@ -75,3 +75,14 @@ def test_missing_spike(spark):
 def test_kendall(spark):
     df = spark.createDataFrame([(1.0, 1.0), (2.0, 3.0), (3.0, 2.0), (4.0, 4.0)], "a double, b double")
     assert relations.kendall(df, "a", "b") == pytest.approx(4 / 6)
+
+
+def test_few_distinct_values_are_counted_exactly(spark, monkeypatch):
+    """Above EXACT_ROWS an estimate of at most EXACT_DISTINCT is replaced by the exact count; a larger one stays."""
+    monkeypatch.setattr(profile, "EXACT_ROWS", 1_000)
+    monkeypatch.setattr(profile, "EXACT_DISTINCT", 10_000)
+    df = spark.range(40_000).selectExpr("id", "id % 2406 AS few", "cast(id % 7001 AS string) AS names", "cast(NULL AS int) AS none")
+    got = profile.facts(df)
+    assert (got["few"]["distinct"], got["names"]["distinct"], got["none"]["distinct"]) == (2406, 7001, 0)
+    assert 36_000 <= got["id"]["distinct"] <= 40_000
+    assert {r["column"]: r["n_unique"] for r in profile.column_profile(df, exact=True).collect()} == {"id": 40_000, "few": 2406, "names": 7001, "none": 0}
