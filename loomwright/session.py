@@ -57,6 +57,8 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not context.getCheckpointDir():
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomwright-"))
         folder = context.getCheckpointDir()
     return folder
@@ -75,6 +77,14 @@ def bounded_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+def spread_small(df: DataFrame, *by: str, mb_a_core: int = 24) -> DataFrame:
+    """df dealt out by ranges of the columns if Spark puts it at less than so much for each core, when a row group or two may hold it all; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= cores * (mb_a_core << 20):
+        return df
+    return df.repartitionByRange(4 * cores, *by)
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Floating NaN becomes NULL: one notion of a missing value."""
     def clean(field: T.StructField):
