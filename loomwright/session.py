@@ -18,6 +18,7 @@ _shipped: set[str] = set()
 
 #: Rows of an Arrow batch. Rows hold whole texts, and a batch stands in the memory of both the JVM and its worker.
 BATCH_ROWS = "1000"
+BATCH_BYTES = "16m"
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -40,6 +41,7 @@ def ship(spark: SparkSession) -> None:
     """Give the executors this package when they cannot import it from PYTHONPATH."""
     context = spark.sparkContext
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if context.applicationId in _shipped:
         return
     _shipped.add(context.applicationId)
