@@ -5,7 +5,8 @@ minimises padding plus a penalty for where each window ends: nothing at a docume
 sentence's end, more inside a sentence. f(j) = min over i of f(i) + pad(p_j - p_i) + penalty(j); as
 padding is most - (p_j - p_i), and a sequence costs a constant more, the best i of a sliding window is kept in a monotone queue, so the
 program is linear. A window whose length is a power of two needs no padding; those lengths are a
-fixed dozen of further transitions. No shuffle is needed: each input partition is one stream."""
+fixed dozen of further transitions. No shuffle is needed: each input partition is one stream (an input
+so small that a few row groups hold it is dealt out by doc_id first)."""
 
 from __future__ import annotations
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from loomwright.llm.encoder import encoder
 from loomwright.llm.text import slices
-from loomwright.session import ship
+from loomwright.session import ship, spread_small
 
 MOST = 4096
 SENTENCE_PENALTY = 8.0
@@ -99,12 +100,10 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2,
     each; rows of one input partition stay in their order; a text of any length is cut across
     sequences. An empty table gives no rows."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = spread_small(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id")
 
-    def run(keys: list, ids: list[bytes], marks: np.ndarray, first_sequence: int) -> tuple[pa.RecordBatch, int]:
-        length = np.fromiter((len(x) // 4 for x in ids), dtype=np.int64, count=len(ids))
-        raw = b"".join(ids)
-        stream = np.frombuffer(raw, "<u4")
+    def run(keys: list, stream: np.ndarray, length: np.ndarray, marks: np.ndarray, first_sequence: int) -> tuple[pa.RecordBatch, int]:
+        raw = stream.astype("<u4").tobytes()
         ends = np.cumsum(length)
         at, penalty = cuts(ends, np.flatnonzero(marks[np.minimum(stream, len(marks) - 1)]) + 1, len(stream))
         windows = np.array(best_windows(at, penalty, most))
@@ -130,22 +129,27 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2,
         from pyspark import TaskContext
 
         sequence = TaskContext.get().partitionId() << 33
-        end = np.array([end_id], dtype="<u4").tobytes()
         marks = sentence_ends(tokenizer)
-        keys, ids, held = [], [], 0
+        keys, streams, lengths, held = [], [], [], 0
         for batch in batches:
             own = batch.column("doc_id").to_pylist()
             for first, texts in slices(batch.column("text")):
-                for i, raw in enumerate(encoder(tokenizer).encode([t.decode() for t in texts])):
-                    keys.append(own[first + i])
-                    ids.append(raw + end)
-                    held += len(raw) // 4 + 1
+                flat, bounds = encoder(tokenizer).encode(texts, end_id)
+                begin = 0
+                while begin < len(texts):
+                    # Whole documents, until a run is full.
+                    stop = min(len(texts), int(np.searchsorted(bounds, bounds[begin] + RUN - held)))
+                    keys += own[first + begin : first + stop]
+                    streams.append(flat[bounds[begin] : bounds[stop]])
+                    lengths.append(np.diff(bounds[begin : stop + 1]))
+                    held += int(bounds[stop] - bounds[begin])
+                    begin = stop
                     if held >= RUN:
-                        out, made = run(keys, ids, marks, sequence)
+                        out, made = run(keys, np.concatenate(streams), np.concatenate(lengths), marks, sequence)
                         yield out
                         sequence += made
-                        keys, ids, held = [], [], 0
+                        keys, streams, lengths, held = [], [], [], 0
         if keys:
-            yield run(keys, ids, marks, sequence)[0]
+            yield run(keys, np.concatenate(streams), np.concatenate(lengths), marks, sequence)[0]
 
     return rows.mapInArrow(packed, PIECES)

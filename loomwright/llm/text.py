@@ -89,9 +89,13 @@ class Words:
 
     def hashes(self, lane: int = 0) -> np.ndarray:
         """A 64-bit hash of each word's bytes, the same in every process."""
-        if not len(self):
+        return self.span_hashes(self.starts, self.ends, lane)
+
+    def span_hashes(self, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+        """The same for spans that the words are cut into, all of them in order."""
+        if not len(starts):
             return np.zeros(0, dtype=np.uint64)
-        length = self.ends - self.starts
+        length = ends - starts
         first = np.cumsum(length) - length
         at = np.arange(length.sum()) - np.repeat(first, length)
         terms = (self.data[self.inside].astype(np.uint64) + np.uint64(1)) * powers(ROOTS[lane], int(length.max()))[at]
@@ -103,6 +107,62 @@ class Words:
         return total[self.base[1:] - 1] - total[self.base[:-1]]
 
 
+def grown(x: np.ndarray, n: int) -> np.ndarray:
+    """x with room for n entries."""
+    return x if len(x) >= n else np.concatenate([x, np.zeros(max(n - len(x), len(x)), dtype=x.dtype)])
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions start .. start + size of each, one after another."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+class HashIndex:
+    """Places 0, 1, .. of 64-bit hashes in order of arrival: open addressing over arrays, for many keys at once."""
+
+    def __init__(self, bits: int = 12):
+        self.n = 0
+        self.keys = np.zeros(1, dtype=np.uint64)
+        self._size(bits)
+
+    def _size(self, bits: int) -> None:
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.slots = np.full(1 << bits, -1, dtype=np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key; -1 where it is not there."""
+        slot = (keys >> self.shift).astype(np.int64)
+        out = self.slots[slot]
+        rest = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
+        while len(rest):
+            slot[rest] = (slot[rest] + 1) & self.mask
+            out[rest] = self.slots[slot[rest]]
+            rest = rest[(out[rest] >= 0) & (self.keys[out[rest]] != keys[rest])]
+        return out
+
+    def add(self, keys: np.ndarray) -> np.ndarray:
+        """The places of distinct keys that are not there yet."""
+        new = np.arange(self.n, self.n + len(keys))
+        self.keys = grown(self.keys, self.n + len(keys))
+        self.keys[new] = keys
+        self.n += len(keys)
+        if 2 * self.n > self.mask:
+            self._size((4 * self.n).bit_length())
+            self._enter(np.arange(self.n))
+        else:
+            self._enter(new)
+        return new
+
+    def _enter(self, places: np.ndarray) -> None:
+        slot = (self.keys[places] >> self.shift).astype(np.int64)
+        rest = np.arange(len(places))
+        while len(rest):
+            free = rest[self.slots[slot[rest]] < 0]
+            self.slots[slot[free]] = places[free]
+            rest = rest[self.slots[slot[rest]] != places[rest]]
+            slot[rest] = (slot[rest] + 1) & self.mask
+
+
 def window_hashes(words: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     """A hash of each n consecutive values; windows may cross texts, the caller masks them."""
     if len(words) < n:

@@ -156,25 +156,29 @@ def encode_files(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         from pyspark import TaskContext
 
         part, start = TaskContext.get().partitionId(), 0
-        own, ids, held = [], [], 0
-        end = np.array([end_id], dtype="<u4").tobytes()
+        own, streams, lengths, held = [], [], [], 0
 
         def file() -> pa.RecordBatch:
-            lengths = np.fromiter((len(x) // 4 for x in ids), dtype=np.int64, count=len(ids))
-            body = write_file(lengths, np.frombuffer(b"".join(ids), "<u4"))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([start], pa.int64()), pa.array([own], pa.list_(pa.int64())), pa.array([int(lengths.sum())], pa.int64()), pa.array([body], pa.binary())], names=["part", "start", "docs", "ids", "body"])
+            body = write_file(np.concatenate(lengths), np.concatenate(streams))
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([start], pa.int64()), pa.array([own], pa.list_(pa.int64())), pa.array([held], pa.int64()), pa.array([body], pa.binary())], names=["part", "start", "docs", "ids", "body"])
 
         for batch in batches:
             keys = batch.column("doc_id").to_pylist()
             for first, texts in slices(batch.column("text")):
-                for i, raw in enumerate(encoder(tokenizer).encode([t.decode() for t in texts])):
-                    own.append(keys[first + i])
-                    ids.append(raw + end)
-                    held += len(raw) // 4 + 1
+                flat, bounds = encoder(tokenizer).encode(texts, end_id)
+                begin = 0
+                while begin < len(texts):
+                    # Whole documents, until a file is full.
+                    stop = min(len(texts), int(np.searchsorted(bounds, bounds[begin] + FILE_IDS - held)))
+                    own += keys[first + begin : first + stop]
+                    streams.append(flat[bounds[begin] : bounds[stop]])
+                    lengths.append(np.diff(bounds[begin : stop + 1]))
+                    held += int(bounds[stop] - bounds[begin])
+                    begin = stop
                     if held >= FILE_IDS:
                         yield file()
                         start += held
-                        own, ids, held = [], [], 0
+                        own, streams, lengths, held = [], [], [], 0
         if own:
             yield file()
 

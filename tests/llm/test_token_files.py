@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import itertools
+import random
 import zlib
 
 import numpy as np
@@ -7,8 +9,9 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from loomwright.llm import encoder as encoding
 from loomwright.llm import token_files as tf
-from loomwright.llm.encoder import encoder
+from loomwright.llm.encoder import Encoder
 from tests.llm.common import awkward, docs
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -16,7 +19,6 @@ TOKENIZER = "byte_bpe_50k.json"
 
 def brute(rows, name=TOKENIZER, end=0):
     library = Tokenizer.from_file(public_tokenizers.path(name))
-    library.encode_special_tokens = True
     return [[*library.encode(r[1] or "", add_special_tokens=False).ids, end] for r in rows]
 
 
@@ -42,13 +44,36 @@ def test_one_block_decodes_alone():
         assert (tf.read_block(body, block) == ids[block * tf.BLOCK : (block + 1) * tf.BLOCK]).all()
 
 
+AWKWARD = [
+    *"ab.,#!?'9\u00e9\u00c9\u00df\u00ff\u0130\u03a3\u03c2\u0301\u00d7\u00f7\u1e9e\ufb01\u01c5\u4e2d\U0001f600\x00\x01\x1c\x7f", *" \n\t\r\x0b\x0c\x85\u00a0\u2003\u2028\u3000\u200b\ufeff",
+    "  ", " \n", "\n\n", "'s", "'ll", ".,", ",.", "ing", "Tion", "12", "<|endoftext|>", "<|startoftext|>", "<|", "\u0130,",
+]
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_encoder_equals_the_library(name):
-    rng = np.random.default_rng(0)
-    texts = ["".join(rng.choice(list("ab.,' \n\né1!sS\t "), rng.integers(0, 40))) for _ in range(2000)]
-    texts += [r[1] or "" for r in awkward()]
-    library = encoder(name).library
-    assert encoder(name).encode(texts) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+def test_encoder_equals_a_fresh_library(name):
+    rng = random.Random(0)
+    texts = ["".join(rng.choices(AWKWARD, k=rng.randrange(15))) for _ in range(8000)] + [r[1] or "" for r in awkward()]
+    code = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    rng.shuffle(code)
+    texts += ["a" + "".join(chr(c) + rng.choice(["", " ", ",", "b.", " x"]) for c in code[i : i + 40]) for i in range(0, len(code), 40)]  # all of Unicode
+    library = Tokenizer.from_file(public_tokenizers.path(name))
+    own = Encoder(name)
+    for k in range(0, len(texts), 1000):
+        part = texts[k : k + 1000]
+        ids, bounds = own.encode([t.encode() for t in part], 7)
+        want = [[*e.ids, 7] for e in library.encode_batch(part, add_special_tokens=False)]
+        assert [ids[a:b].tolist() for a, b in itertools.pairwise(bounds.tolist())] == want
+
+
+def test_encoder_forgets(monkeypatch):
+    """A full table drops parts; ids stay right."""
+    monkeypatch.setattr(encoding, "MOST_PARTS", 300)
+    library, own, rng = Tokenizer.from_file(public_tokenizers.path(TOKENIZER)), Encoder(TOKENIZER), random.Random(1)
+    for _ in range(30):
+        text = " ".join(rng.choice(["the", "of", "word"]) + str(rng.randrange(400)) for _ in range(100))
+        assert own.encode([text.encode()])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+        assert own.table.index.n < 600
 
 
 def test_files_hold_every_document(spark):
