@@ -4,7 +4,7 @@ A seed is a fixed mask over up to SPAN consecutive words of which only some are
 survives substituted words at the ignored places. The masks are chosen by enumeration: wherever the
 bar lets words be substituted, one mask at least has only equal words somewhere in the stretch. (A
 stretch of 24 words or more holds a shorter one that meets the bar, so 12 .. 23 words are all there is
-to enumerate.) Hashes of every benchmark position meet those of every training position. A Bloom filter of fixed size, made of
+to enumerate.) Hashes of every benchmark position meet those of every training position. A Bloom filter of bounded size, made of
 the benchmark's hashes, is all that is broadcast: positions it turns away never leave their task, the
 rest meet the benchmark in an equi-join. Each hit is verified where it lies: on its diagonal the two
 texts are compared word by word, and the best-scoring stretch round the seed, with substitutions,
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.llm.dealing import join_counted
 from loomwright.llm.text import Words, mixed, powers, slices
 from loomwright.session import ship, written
 
@@ -39,8 +40,12 @@ CONTEXT = 96
 #: Score of an equal and of a substituted word in a stretch.
 EQUAL, SUBSTITUTED = 1, -3
 
-FILTER_BITS = 24
+#: Bits of the filter are a power of two, FILTER_SHARE or more for each seed, within these bounds.
+FILTER_BITS = (20, 28)
+FILTER_SHARE = 16
 FILTER_HASHES = 3
+#: Seeds that are broadcast to their hits (some 30 bytes each); more are joined by a shuffle.
+MOST_BROADCAST = 500_000
 
 _table = bytes(range(256)).lower()
 _punctuation = string.punctuation.encode()
@@ -74,9 +79,9 @@ def mask_hashes(words: np.ndarray, mask: str) -> np.ndarray:
     return mixed(out)
 
 
-def slots(hashes: np.ndarray) -> np.ndarray:
+def slots(hashes: np.ndarray, bits: int) -> np.ndarray:
     """The filter's bits of each hash, one column each."""
-    return np.stack([((hashes >> np.uint64(20 * k)) if k < 2 else mixed(hashes)) & np.uint64((1 << FILTER_BITS) - 1) for k in range(FILTER_HASHES)], axis=1).astype(np.int64)
+    return np.stack([((hashes >> np.uint64(32 * k)) if k < 2 else mixed(hashes)) & np.uint64((1 << bits) - 1) for k in range(FILTER_HASHES)], axis=1).astype(np.int64)
 
 
 ITEMS = "item_id long, words array<bigint>, hashes array<bigint>, places array<int>, spans array<int>"
@@ -103,17 +108,18 @@ def benchmark_items(items: DataFrame) -> DataFrame:
 
 
 def build_filter(seeds: DataFrame) -> bytes:
-    """The Bloom filter of the seeds' hashes: 2 MB whatever the benchmark's size. Parts are merged pairwise on the way."""
+    """The Bloom filter of the seeds' hashes: 128 KB to 32 MB by their number. At its largest, of 17 million seeds, it lets one position in 200 pass; with more seeds more pass, which costs work but no result."""
     spark = seeds.sparkSession
+    wanted = min(FILTER_BITS[1], max(FILTER_BITS[0], (FILTER_SHARE * seeds.count()).bit_length()))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << FILTER_BITS, dtype=bool)
+        bits = np.zeros(1 << wanted, dtype=bool)
         for batch in batches:
-            bits[slots(batch.column("hash").to_numpy(zero_copy_only=False).view(np.uint64)).ravel()] = True
+            bits[slots(batch.column("hash").to_numpy(zero_copy_only=False).view(np.uint64), wanted).ravel()] = True
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], names=["bits"])
 
     few = seeds.select("hash").coalesce(min(64, max(1, spark.sparkContext.defaultParallelism)))
-    whole = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
+    whole = np.zeros((1 << wanted) // 8, dtype=np.uint8)
     for row in few.mapInArrow(part, "bits binary").toLocalIterator():
         whole |= np.frombuffer(zlib.decompress(row["bits"]), dtype=np.uint8)
     return whole.tobytes()
@@ -127,6 +133,7 @@ def training_regions(docs: DataFrame, bits: bytes, masks: list[str]) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = np.unpackbits(np.frombuffer(shared.value, dtype=np.uint8)).view(bool)
+        size_bits = len(have).bit_length() - 1
         for batch in batches:
             keys = batch.column("doc_id")
             for first, texts in slices(batch.column("text")):
@@ -138,9 +145,9 @@ def training_regions(docs: DataFrame, bits: bytes, masks: list[str]) -> DataFram
                     if n < 1:
                         continue
                     seeds = mask_hashes(hashes, mask)
-                    bit = (seeds & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+                    bit = (seeds & np.uint64(len(have) - 1)).astype(np.int64)
                     at = np.flatnonzero(have[bit] & (words.doc[:n] == words.doc[len(mask) - 1 :]))
-                    at = at[have[slots(seeds[at])].all(axis=1)] if len(at) else at
+                    at = at[have[slots(seeds[at], size_bits)].all(axis=1)] if len(at) else at
                     found.append((at, seeds[at], np.full(len(at), len(mask))))
                 if not sum(len(f[0]) for f in found):
                     continue
@@ -184,6 +191,15 @@ def longest_stretch(equal: np.ndarray) -> tuple[int, int]:
 FOUND = "doc_id long, item_id long, doc_start int, item_start int, n_words int, n_equal int, item_words int"
 
 
+def meet(hits: DataFrame, seeds: DataFrame) -> DataFrame:
+    """hits joined with seeds by hash. Beyond MOST_BROADCAST seeds, the hashes of a passage that very many documents hold are still no hot key: join_counted."""
+    if seeds.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        return hits.join(F.broadcast(seeds), "hash")
+    counts = hits.groupBy("hash").agg(F.count("*").alias("n"))
+    same = seeds.groupBy("hash").agg(F.collect_list(F.struct("item_id", "item_place", "item_span")).alias("__seeds"))
+    return join_counted(hits, counts.join(same, "hash"), ["hash"]).withColumn("s", F.explode("__seeds")).select("*", "s.*").drop("__seeds", "s")
+
+
 def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Verified overlaps (doc_id, item_id, doc_start, item_start, n_words, n_equal, item_words).
 
@@ -197,7 +213,7 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     masks = sorted({m for r in lengths for m in masks_for(r["n"])})
     regions = written(training_regions(docs.where("doc_id IS NOT NULL"), build_filter(seeds), masks), "regions").withColumn("region", F.xxhash64("doc_id", "start", "words"))
     hits = regions.select("doc_id", "region", F.explode(F.arrays_zip("hashes", "places", "spans")).alias("s")).select("doc_id", "region", F.col("s.hashes").alias("hash"), F.col("s.places").alias("place"), F.col("s.spans").alias("span"))
-    met = hits.join(seeds, "hash").where("span = item_span").withColumn("diagonal", F.col("place") - F.col("item_place"))
+    met = meet(hits, seeds).where("span = item_span").withColumn("diagonal", F.col("place") - F.col("item_place"))
     # One row for each diagonal of a region and an item; its seeds' places go along.
     pairs = met.groupBy("doc_id", "region", "item_id", "diagonal", "span").agg(F.collect_set("place").alias("places"))
     texts = regions.select("doc_id", "region", "start", "words").dropDuplicates(["doc_id", "region"])

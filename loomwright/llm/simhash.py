@@ -2,9 +2,9 @@
 
 Fingerprints within a Hamming budget of each other agree on one of budget + 1 blocks of their bits.
 Each block in turn is moved to the front; fingerprints with the same leading block are the leaves of
-one subtree, whose node pairs are traversed together: a pair of nodes keeps the number of bits in
-which their paths differ, and is dropped once that exceeds the budget. Every subtree gives the links
-of a spanning forest, never all pairs, so a group of n costs at most n - 1 rows."""
+one subtree. Node pairs of all subtrees of a task are traversed together: a pair of nodes keeps the
+number of bits in which their paths differ, and is dropped once that exceeds the budget. Subtrees give
+the links of a spanning forest, never all pairs, so a group of n costs at most n - 1 rows."""
 
 from __future__ import annotations
 
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm.components import connected
+from loomwright.llm.dealing import dealt
 from loomwright.llm.text import Words, slices
 from loomwright.session import ship, written
 
@@ -24,6 +25,10 @@ SEED = 42
 SHINGLE = 3
 BUDGET = 2
 BITS = 64
+#: Fingerprints of one subtree that are walked in one task are at most about twice as many.
+GROUP = 50_000
+#: Subtrees are walked together until they have so many fingerprints.
+WALK = 100_000
 
 
 def fold(text: bytes) -> bytes:
@@ -97,53 +102,50 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return a[keep], b[keep]
 
 
-def trie_pairs(keys: np.ndarray, width: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (positions) of sorted distinct keys whose lowest width bits differ in 1 .. budget places.
+def trie_pairs(keys: np.ndarray, roots: np.ndarray, depth: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (positions) of 64-bit keys of one subtree that differ in 1 .. budget bits.
 
-    A node of depth d is the range of keys with the same top d bits. All node pairs of a depth are
-    expanded together into pairs of children; a depth with too many pairs is walked in parts."""
-    if len(keys) < 2:
-        return
-    edges = {width: np.arange(len(keys) + 1)}
-    for d in range(width - 1, -1, -1):
-        top = keys >> np.uint64(width - d) if d else np.zeros(len(keys), dtype=np.uint64)
-        edges[d] = np.concatenate([[0], np.flatnonzero(top[1:] != top[:-1]) + 1, [len(keys)]])
-    stack = [(0, np.array([0]), np.array([0]), np.array([0]))]
+    keys[roots[i] : roots[i + 1]], sorted and distinct, are the leaves of subtree i, whose keys agree in
+    their first `depth` bits. A node is a range of keys that agree so far. All node pairs of all
+    subtrees are expanded together, level by level, into pairs of children; a pair is dropped once its
+    paths differ in more bits than the budget, and settled at once when both nodes are single leaves. A
+    level with too many pairs is walked in parts."""
+    ones: dict[int, np.ndarray] = {}
+    low, high = roots[:-1][np.diff(roots) > 1], roots[1:][np.diff(roots) > 1]
+    stack = [(depth, low, high, low, high, np.zeros(len(low), dtype=np.int64))]
     while stack:
-        depth, left, right, differ = stack.pop()
-        if not len(left):
+        depth, a, a_end, b, b_end, differ = stack.pop()
+        if len(a) > 1 << 18:
+            half = len(a) // 2
+            stack += [(depth, *(x[:half] for x in (a, a_end, b, b_end, differ))), (depth, *(x[half:] for x in (a, a_end, b, b_end, differ)))]
             continue
-        if len(left) > 1 << 18:
-            half = len(left) // 2
-            stack += [(depth, left[:half], right[:half], differ[:half]), (depth, left[half:], right[half:], differ[half:])]
+        single = (a_end - a == 1) & (b_end - b == 1)
+        if single.any():
+            x, y = a[single], b[single]
+            near = (x != y) & (np.bitwise_count(keys[x] ^ keys[y]) <= budget)
+            if near.any():
+                yield x[near], y[near]
+            a, a_end, b, b_end, differ = (v[~single] for v in (a, a_end, b, b_end, differ))
+        if not len(a):
             continue
-        if depth == width:
-            other = left != right
-            if other.any():
-                yield left[other], right[other]
-            continue
-        own, below = edges[depth], edges[depth + 1]
-        child = np.searchsorted(below, own[:-1])  # a node's first child
-        middle = own[:-1].copy()
-        two = np.diff(np.append(child, len(below) - 1)) == 2
-        bit = (keys[own[:-1]] >> np.uint64(width - depth - 1)) & np.uint64(1)
-        zero = np.where(two | (bit == 0), child, -1)
-        one = np.where(two, child + 1, np.where(bit == 1, child, -1))
-        del middle
-        same = left == right
+        if depth not in ones:
+            ones[depth] = np.concatenate([[0], np.cumsum(keys >> np.uint64(63 - depth) & np.uint64(1), dtype=np.int32)])
+        upto = ones[depth]
+        a_cut, b_cut = a_end - (upto[a_end] - upto[a]), b_end - (upto[b_end] - upto[b])
+        same = a == b
         parts = []
-        for x, y, more in ((zero, zero, 0), (one, one, 0), (zero, one, 1), (one, zero, 1)):
-            ok = (x[left] >= 0) & (y[right] >= 0) & (differ + more <= budget)
-            if x is one and y is zero:
-                ok &= ~same
-            parts.append((x[left[ok]], y[right[ok]], differ[ok] + more))
+        for left, left_end, right, right_end, more in ((a, a_cut, b, b_cut, 0), (a_cut, a_end, b_cut, b_end, 0), (a, a_cut, b_cut, b_end, 1), (a_cut, a_end, b, b_cut, 1)):
+            ok = (left < left_end) & (right < right_end) & (differ + more <= budget)
+            if left is a_cut and right is b:
+                ok &= ~same  # of a node with itself, one order of its children is enough
+            parts.append((left[ok], left_end[ok], right[ok], right_end[ok], differ[ok] + more))
         stack.append((depth + 1, *(np.concatenate(p) for p in zip(*parts, strict=True))))
 
 
-def trie_forest(keys: np.ndarray, width: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among sorted distinct keys."""
+def trie_forest(keys: np.ndarray, roots: np.ndarray, depth: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links within the subtrees."""
     a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for x, y in trie_pairs(keys, width, budget):
+    for x, y in trie_pairs(keys, roots, depth, budget):
         a, b = forest(len(keys), np.concatenate([a, x]), np.concatenate([b, y]))
     return a, b
 
@@ -154,46 +156,59 @@ def blocks(bits: int, budget: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cut, cut[1:], strict=False)]
 
 
-def links(prints: DataFrame, budget: int = BUDGET, bits: int = BITS) -> DataFrame:
+def links(prints: DataFrame, budget: int = BUDGET) -> DataFrame:
     """(a, b) ids of linked fingerprints; prints has one row (id, fp) for each distinct fp.
 
-    Groups with one fingerprint are dropped before Python sees them. A partition is streamed in
-    order of its groups, so that only one group at a time is in memory (16 bytes a fingerprint)."""
+    Groups with one fingerprint are dropped before Python sees them; one of over GROUP is dealt into
+    parts, each pair of which is walked on its own. Some WALK fingerprints are in memory at a time. A
+    fingerprint has at most some bits ** budget / 2 others within the budget, whatever the group's size."""
     ship(prints.sparkSession)
     moved = []
-    for k, (low, width) in enumerate(blocks(bits, budget)):
-        lead = F.shiftrightunsigned(F.col("fp"), low).bitwiseAND(F.lit((1 << width) - 1))
-        moved.append(F.struct(F.lit(k).alias("k"), lead.alias("lead")))
-    each = prints.select("id", "fp", F.explode(F.array(*moved)).alias("g")).select("id", "fp", "g.k", "g.lead")
-    many = each.groupBy("k", "lead").count().where("count > 1").select("k", "lead")
-    rows = each.join(many, ["k", "lead"], "left_semi").repartition("k", "lead").sortWithinPartitions("k", "lead", "fp")
+    for k, (low, width) in enumerate(blocks(BITS, budget)):
+        # The block first: its bits lead, the others follow in their circle.
+        turned = F.col("fp") if low + width == BITS else F.shiftleft("fp", BITS - low - width).bitwiseOR(F.shiftrightunsigned("fp", low + width))
+        moved.append(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(turned, BITS - width).alias("lead"), turned.alias("turned")))
+    each = prints.select("id", F.explode(F.array(*moved)).alias("g")).select("id", "g.k", "g.lead", "g.turned")
+    group = ["k", "lead", "one", "two"]
+    rows = dealt(each, ["k", "lead"], GROUP).repartition(*group).sortWithinPartitions(*group, F.col("turned").bitwiseXOR(F.lit(-(1 << 63))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(held: list[pa.Table]) -> pa.RecordBatch | None:
-            fp = np.concatenate([h[0] for h in held]).view(np.uint64)
-            ids = np.concatenate([h[1] for h in held])
-            a, b = trie_forest(fp, bits, budget)
-            if not len(a):
-                return None
-            return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
-
-        key, held = None, []
+        cuts = blocks(BITS, budget)
+
+        def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            keys, ids, k = table["turned"].to_numpy().view(np.uint64), table["id"].to_numpy(), table["k"].to_numpy()
+            turn = starts(table)
+            for block in np.unique(k).tolist():
+                at = np.flatnonzero(k == block)
+                roots = np.append(turn[(turn >= at[0]) & (turn <= at[-1])], at[-1] + 1) - at[0]
+                a, b = trie_forest(keys[at], roots, cuts[block][1], budget)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at][a]), pa.array(ids[at][b])], names=["a", "b"])
+
+        def starts(table: pa.Table) -> np.ndarray:
+            new = np.zeros(len(table), dtype=bool)
+            new[:1] = True
+            for name in group:
+                value = table[name].to_numpy()
+                new[1:] |= value[1:] != value[:-1]
+            return np.flatnonzero(new)
+
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
-            k, lead = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "lead"))
-            fp, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "id"))
-            turn = np.flatnonzero((k[1:] != k[:-1]) | (lead[1:] != lead[:-1])) + 1
-            for i, j in zip([0, *turn.tolist()], [*turn.tolist(), len(k)], strict=True):
-                if i == j:
-                    continue
-                if (now := (k[i], lead[i])) != key:
-                    if held and (out := solve(held)) is not None:
-                        yield out
-                    key, held = now, []
-                held.append((fp[i:j], ids[i:j]))
-        if held and (out := solve(held)) is not None:
-            yield out
-
-    return rows.select("k", "lead", "fp", "id").mapInArrow(run, "a long, b long")
+            held.append(batch)
+            size += batch.num_rows
+            if size >= WALK:
+                # All but the last group, which may go on.
+                table = pa.Table.from_batches(held).combine_chunks()
+                last = int(starts(table)[-1])
+                if last:
+                    yield from solve(table.slice(0, last).combine_chunks())
+                held, size = table.slice(last).combine_chunks().to_batches(), len(table) - last
+        if size:
+            yield from solve(pa.Table.from_batches(held).combine_chunks())
+
+    return rows.select("k", "lead", "one", "two", "turned", "id").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, budget: int = BUDGET) -> DataFrame:

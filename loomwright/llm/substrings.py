@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.llm.dealing import join_counted
 from loomwright.llm.fm_index import FMIndex
 from loomwright.llm.text import Words, slices, window_hashes, window_ok
 from loomwright.session import ship, written
@@ -28,7 +29,7 @@ from loomwright.session import ship, written
 LENGTH = 50
 GRAM = 8
 #: Runs of one anchor in one shard at most.
-HOT = 2048
+HOT = 512
 #: Words of an index at most, but for one anchor's runs.
 INDEX_WORDS = 150_000
 
@@ -198,20 +199,20 @@ def search(pieces: DataFrame, length: int) -> DataFrame:
 def marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, tkey, copy, spans): what to cut from rows with that doc_id and text hash. spans: array of (place, n) words."""
     lines = written(outline(docs, length), "outline")
-    low = lines.groupBy("digest").agg(F.min("doc_id").alias("low"))
-    known = lines.join(low, "digest")
+    low = lines.groupBy("digest").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
+    known = written(join_counted(lines, low, ["digest"]), "outline-groups")
     copies = known.where("doc_id > low").select("doc_id", "tkey").distinct()
     chosen = known.where("doc_id = low").dropDuplicates(["digest"])
     each = chosen.select("doc_id", "tkey", F.explode(F.arrays_zip("anchors", "firsts", "lasts")).alias("r")).select("doc_id", "tkey", F.col("r.anchors").alias("anchor"), F.col("r.firsts").alias("first"), F.col("r.lasts").alias("last"))
     each = written(each, "anchors")
-    shared = each.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).where("a < b").select("anchor", F.ceil(F.col("n") / HOT).alias("salts"))
-    asked = each.join(shared, "anchor").groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("anchor", "salts", "first", "last")).alias("asked"))
+    shared = each.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).where("a < b").select("anchor", "n", F.ceil(F.col("n") / HOT).alias("salts"))
+    asked = join_counted(each, shared, ["anchor"]).groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("anchor", "salts", "first", "last")).alias("asked"))
     pieces = cut_runs(keyed(docs).join(asked, ["doc_id", "tkey"]).dropDuplicates(["doc_id", "tkey"]), length)
     found = written(search(pieces, length), "repeats")
     flagged = found.where("NOT hot").select("doc_id", "tkey", "place", "windows")
     hot = found.where("hot").select("doc_id", "tkey", "place", F.explode(F.arrays_zip("at", "h1", "h2")).alias("h")).select("doc_id", "tkey", (F.col("place") + F.col("h.at")).alias("place"), "h.h1", "h.h2")
-    smallest = hot.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
-    late = hot.join(smallest, ["h1", "h2"]).where("least < doc_id").select("doc_id", "tkey", "place", F.lit(1).alias("windows"))
+    smallest = hot.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    late = join_counted(hot, smallest, ["h1", "h2"]).where("least < doc_id").select("doc_id", "tkey", "place", F.lit(1).alias("windows"))
     spans = flagged.union(late).groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("place", (F.col("windows") + length - 1).alias("n"))).alias("spans"))
     return spans.select("doc_id", "tkey", F.lit(False).alias("copy"), "spans").unionByName(copies.select("doc_id", "tkey", F.lit(True).alias("copy"), F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")))
 

@@ -10,14 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.llm.dealing import join_counted
 from loomwright.session import bounded_broadcast
 
 #: Hex digits of the digest that the join compares.
 SHORT = 8
 #: Rule lists of up to so many rows (some 200 bytes each) are broadcast; longer ones are joined by a shuffle.
 MOST_BROADCAST = 100_000
-#: Salts of hot expressions in the shuffle join.
-SALTS = 16
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -59,13 +58,15 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     """Every row of pages as (page_id, host, path, rule, verdict); rule is null where none fits.
 
     A null url, or one without ://, has an empty host and path, and rules fit it only if their own
-    are empty. Repeated rows are judged each. Urls are judged once for each distinct host and path."""
+    are empty. Repeated rows are judged each. Urls are judged once for each distinct host and path, and
+    a url that very many rows have (or that they lack) is no hot key: join_counted."""
     rows = pages.select("page_id", host_of(F.col("url").cast("string")).alias("host"), path_of(F.col("url").cast("string")).alias("path"))
     known = bounded_broadcast(rule_table(rules), MOST_BROADCAST)
-    pairs = rows.select("host", "path").distinct()
+    pairs = rows.groupBy("host", "path").agg(F.count("*").alias("n"))
     each = pairs.select("host", "path", F.explode(host_suffixes(F.col("host"))).alias("suffix")).select("host", "path", "suffix", F.explode(path_prefixes(F.col("path"))).alias("prefix"))
     each = each.withColumn("digest", digest(F.col("suffix"), F.col("prefix"))).withColumn("short", F.substring("digest", 1, SHORT))
     hits = each.join(known, "short").where((F.col("digest") == F.col("rule_digest")) & F.startswith(F.col("path"), F.col("rule_path")))
     best = F.struct((F.length("rule_host") + F.length("rule_path")).alias("n"), F.length("rule_host").alias("h"), F.col("rule_verdict"), F.concat("rule_host", "rule_path").alias("rule"))
-    won = hits.groupBy("host", "path").agg(F.max(best).alias("best")).select(F.col("host").alias("h"), F.col("path").alias("p"), F.col("best.rule").alias("rule"), F.col("best.rule_verdict").alias("rule_verdict"))
-    return rows.join(won, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left").select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.lit(default)).alias("verdict"))
+    won = hits.groupBy("host", "path").agg(F.max(best).alias("best")).select("host", "path", F.col("best.rule").alias("rule"), F.col("best.rule_verdict").alias("rule_verdict"))
+    judged = pairs.join(won, ["host", "path"], "left")
+    return join_counted(rows, judged, ["host", "path"]).select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.lit(default)).alias("verdict"))

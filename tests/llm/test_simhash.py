@@ -41,12 +41,29 @@ def brute_components(prints):
 
 @pytest.mark.parametrize("budget", [0, 1, 2, 5])
 def test_trie_finds_every_pair(budget):
+    """Two subtrees walked together: each finds its own pairs, none across."""
     rng = np.random.default_rng(budget)
     base = rng.integers(0, 2**16, 40)
     keys = np.unique(np.concatenate([base, base ^ (1 << rng.integers(0, 16, 40)), base ^ (1 << rng.integers(0, 16, 40)) ^ (1 << rng.integers(0, 16, 40))])).astype(np.uint64)
-    found = {tuple(sorted(p)) for a, b in simhash.trie_pairs(keys, 16, budget) for p in zip(a.tolist(), b.tolist(), strict=True)}
-    want = {(i, j) for i in range(len(keys)) for j in range(i + 1, len(keys)) if (int(keys[i]) ^ int(keys[j])).bit_count() <= budget}
-    assert found == want
+    for shift in (48, 0):
+        own = keys << np.uint64(shift)
+        roots = np.array([0, len(keys), len(keys) + 1, 2 * len(keys) + 1])
+        found = [p for a, b in simhash.trie_pairs(np.concatenate([own, own[:1], own]), roots, 0, budget) for p in zip(a.tolist(), b.tolist(), strict=True)]
+        want = {(i, j) for i in range(len(keys)) for j in range(i + 1, len(keys)) if (int(keys[i]) ^ int(keys[j])).bit_count() <= budget}
+        assert len(found) == len(set(found))
+        assert {tuple(sorted(p)) for p in found} == want | {(i + len(keys) + 1, j + len(keys) + 1) for i, j in want}
+
+
+def test_parts_of_a_hot_subtree_meet(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "GROUP", 20)
+    monkeypatch.setattr(simhash, "WALK", 64)
+    rng = np.random.default_rng(5)
+    fps = {int(f) for f in 0x123456 << 40 | rng.integers(0, 1 << 12, 300)}
+    fps |= {int(f) for f in rng.integers(-(2**63), 2**63, 200)}
+    nodes = spark.createDataFrame([(i, f) for i, f in enumerate(sorted(fps))], "id long, fp long")
+    got = {r.node: r.component for r in connected(simhash.links(nodes)).collect()}
+    want = brute_components({i: f % 2**64 for i, f in enumerate(sorted(fps))})
+    assert {i: got.get(i, i) for i in want} == want
 
 
 def check(frame, rows):
