@@ -14,14 +14,14 @@ from loomwright.llm.dealing import join_counted
 from loomwright.session import written
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over distinct links (a > b)."""
+def _star(edges: DataFrame, large: bool, count: int) -> DataFrame:
+    """One star step over distinct links (a > b), at most count of them."""
     if large:
         sides = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         sides = edges
     low = sides.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
-    joined = join_counted(sides, low, ["a"]).withColumn("low", F.least("low", "a"))
+    joined = join_counted(sides, low, ["a"], 2 * count).withColumn("low", F.least("low", "a"))
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
     else:
@@ -39,7 +39,8 @@ def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if tuple(now) == state:
             break
         state = tuple(now)
-        edges = written(_star(_star(edges, True), False), "links")
+        edges = written(_star(edges, True, now[0]), "links")
+        edges = written(_star(edges, False, now[0]), "links")
     else:
         raise RuntimeError("components did not settle")
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

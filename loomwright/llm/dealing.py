@@ -17,12 +17,13 @@ def dealt(rows: DataFrame, key: list[str], most: int) -> DataFrame:
     return each.withColumn("one", F.least("part", "other")).withColumn("two", F.greatest("part", "other")).drop("part", "other", "parts")
 
 
-def join_counted(rows: DataFrame, side: DataFrame, key: list[str]) -> DataFrame:
+def join_counted(rows: DataFrame, side: DataFrame, key: list[str], whole: int | None = None) -> DataFrame:
     """rows joined with side, which has one row for each key, and in n how many of rows have it.
 
     Keys of over 1 / HOT_SHARE of the counted rows are fewer than HOT_SHARE, so their side is broadcast
-    and their rows stay where they are; the others meet in a shuffle. rows are read twice. n is dropped."""
-    whole = side.agg(F.sum("n").alias("n")).first()["n"] or 0
+    and their rows stay where they are; the others meet in a shuffle. rows are read twice, so a written
+    table is best. whole, where it is known, is the sum of n or a bound of it. n is dropped."""
+    whole = whole if whole is not None else side.agg(F.sum("n").alias("n")).first()["n"] or 0
     least = whole / HOT_SHARE
     hot = F.broadcast(side.where(F.col("n") > least).drop("n"))
     cold = side.where(F.col("n") <= least).drop("n")
