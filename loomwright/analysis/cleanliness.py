@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwright.analysis.profile import clean, names_of, plain, quantile, unpivoted
+from loomwright.analysis.profile import clean, names_of, of_columns, plain, quantiles, unpivoted
+from loomwright.errors import EngineError
+from loomwright.functions.running import running
 from loomwright.operators.base import NUMERIC, col, num
 from loomwright.operators.text import stripped, unified
 
@@ -51,14 +53,14 @@ def missing_per_row(df: DataFrame) -> DataFrame:
 
 def sentinel_counts(df: DataFrame) -> DataFrame:
     """(column, token, count): codes and words that stand for a missing value."""
-    parts = []
+    parts, numbers = [], []
     for c in names_of(df):
         dtype = df.schema[c].dataType
         if isinstance(dtype, T.StringType):
             token = F.lower(stripped(col(c)))
             hit = token.isin(*STRING_SENTINELS) & (stripped(col(c)) != "MISSING")
         elif isinstance(dtype, NUMERIC):
-            parts.append(numeric_sentinels(df, c))
+            numbers.append(c)
             continue
         elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
             token = F.date_format(col(c), "yyyy-MM-dd")
@@ -66,27 +68,36 @@ def sentinel_counts(df: DataFrame) -> DataFrame:
         else:
             continue
         parts.append(df.where(hit).groupBy(token.alias("token")).agg(F.count("*").alias("count")).select(F.lit(c).alias("column"), "token", "count"))
-    if not parts:
-        return df.sparkSession.createDataFrame([], "column string, token string, count long")
-    out = parts[0]
-    for part in parts[1:]:
+    out = df.sparkSession.createDataFrame(numeric_sentinels(df, numbers), "column string, token string, count long")
+    for part in parts:
         out = out.union(part)
     return out
 
 
-def numeric_sentinels(df: DataFrame, name: str) -> DataFrame:
-    """Codes outside the range of the other values, or far more frequent than the ten nearest ones."""
-    counts = df.select(num(name).alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
-    codes = counts.where(F.col("v").isin(*[float(s) for s in NUMERIC_SENTINELS]))
-    others = counts.where(~F.col("v").isin(*[float(s) for s in NUMERIC_SENTINELS]))
-    span = others.agg(F.min("v").alias("low"), F.max("v").alias("high"))
-    near = codes.select(F.col("v").alias("code"), F.col("n").alias("code_n")).join(others)
-    place = F.row_number().over(W.partitionBy("code").orderBy(F.abs(F.col("v") - F.col("code")), "v"))
-    most = near.withColumn("place", place).where("place <= 10").groupBy("code").agg(F.max("n").alias("most"))
-    found = codes.crossJoin(F.broadcast(span)).join(most, codes["v"] == most["code"], "left")
-    outside = (F.col("v") < F.col("low")) | (F.col("v") > F.col("high")) | F.col("low").isNull()
-    spike = (F.col("n") >= SPIKE_ROWS) & (F.col("n") >= SPIKE_FACTOR * F.coalesce("most", F.lit(0)))
-    return found.where(outside | spike).select(F.lit(name).alias("column"), F.col("v").cast("bigint").cast("string").alias("token"), F.col("n").alias("count"))
+def numeric_sentinels(df: DataFrame, names: list[str]) -> list[tuple[str, str, int]]:
+    """(column, token, count): codes outside the range of the other values, or far more frequent than the ten nearest ones.
+
+    One aggregate finds which codes occur; only for those are the nearest values looked up."""
+    codes = [float(v) for v in NUMERIC_SENTINELS]
+    wanted = []
+    for i, c in enumerate(names):
+        others = F.when(~num(c).isin(codes), num(c))
+        wanted += [F.min(others).alias(f"low{i}"), F.max(others).alias(f"high{i}"), *[F.count_if(num(c) == v).alias(f"n{i}_{k}") for k, v in enumerate(codes)]]
+    row = df.agg(*wanted).first().asDict() if wanted else {}
+    out = []
+    for i, c in enumerate(names):
+        for k, v in enumerate(codes):
+            n, low, high = row[f"n{i}_{k}"], row[f"low{i}"], row[f"high{i}"]
+            if not n:
+                continue
+            if low is None or v < low or v > high:
+                out.append((c, str(int(v)), n))
+            elif n >= SPIKE_ROWS:
+                counts = df.select(num(c).alias("v")).where(F.col("v").isNotNull() & ~F.col("v").isin(codes)).groupBy("v").agg(F.count("*").alias("n"))
+                near = counts.orderBy(F.abs(F.col("v") - v), "v").limit(10).agg(F.max("n").alias("n")).first()["n"]
+                if n >= SPIKE_FACTOR * (near or 0):
+                    out.append((c, str(int(v)), n))
+    return out
 
 
 def cooccurrence(df: DataFrame, least: float = JACCARD) -> DataFrame:
@@ -115,25 +126,44 @@ def value_spikes(train: DataFrame, test: DataFrame, name: str, top: int = 3) ->
 
 
 def univariate_outliers(df: DataFrame, names) -> DataFrame:
-    """(column, n, n_iqr, n_z, n_mad)."""
-    each = unpivoted(df, names, num)
-    base = each.groupBy("column").agg(F.count("x").alias("n"), quantile("x", 0.25).alias("q1"), quantile("x", 0.5).alias("med"), quantile("x", 0.75).alias("q3"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"))
-    joined = each.join(F.broadcast(base), "column")
-    mad = joined.groupBy("column").agg(quantile(F.abs(F.col("x") - F.col("med")), 0.5).alias("mad"))
-    low, high = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    score = F.when(F.col("mad") > 0, 0.6745 * F.abs(F.col("x") - F.col("med")) / F.col("mad"))
-    return joined.join(F.broadcast(mad), "column").groupBy("column").agg(
-        F.count("x").alias("n"), F.count_if((F.col("x") < low) | (F.col("x") > high)).alias("n_iqr"),
-        F.count_if((F.col("std") > 0) & (F.abs(F.col("x") - F.col("mean")) > 3 * F.col("std"))).alias("n_z"), F.count_if(score > 3.5).alias("n_mad"),
-    )
+    """(column, n, n_iqr, n_z, n_mad); every step is one aggregate over all columns."""
+    names = list(names)
+    q, row = quantiles(df, {c: num(c) for c in names}, [0.25, 0.5, 0.75], *of_columns(df, names, n=F.count, mean=F.avg, std=F.stddev_samp))
+    some = [(i, c) for i, c in enumerate(names) if row[f"n{i}"]]
+    mad, _ = quantiles(df, {c: F.abs(num(c) - q[c][1]) for _, c in some}, [0.5])
+    wanted = []
+    for i, c in some:
+        x, (q1, median, q3), reach = num(c), q[c], 1.5 * (q[c][2] - q[c][0])
+        wanted.append(F.count_if((x < q1 - reach) | (x > q3 + reach)).alias(f"iqr{i}"))
+        wanted.append((F.count_if(F.abs(x - row[f"mean{i}"]) > 3 * row[f"std{i}"]) if row[f"std{i}"] else F.lit(0).cast("long")).alias(f"z{i}"))
+        wanted.append((F.count_if(0.6745 * F.abs(x - median) / mad[c][0] > 3.5) if mad[c][0] > 0 else F.lit(0).cast("long")).alias(f"mad{i}"))
+    found = df.agg(*wanted).first().asDict() if wanted else {}
+    rows = [(c, row[f"n{i}"], *(found.get(f"{k}{i}", 0) for k in ("iqr", "z", "mad"))) for i, c in enumerate(names)]
+    return df.sparkSession.createDataFrame(rows, "column string, n long, n_iqr long, n_z long, n_mad long")
 
 
 def box_stats(df: DataFrame, names) -> DataFrame:
-    each = unpivoted(df, names, num)
-    base = each.groupBy("column").agg(quantile("x", 0.25).alias("q1"), quantile("x", 0.5).alias("median"), quantile("x", 0.75).alias("q3"))
-    base = base.withColumn("low_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).withColumn("high_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    inside = F.col("x").between(F.col("low_fence"), F.col("high_fence"))
-    return each.join(F.broadcast(base), "column").groupBy("column", "q1", "median", "q3", "low_fence", "high_fence").agg(F.min(F.when(inside, F.col("x"))).alias("low_whisker"), F.max(F.when(inside, F.col("x"))).alias("high_whisker"), F.count_if(F.col("x") < F.col("low_fence")).alias("below"), F.count_if(F.col("x") > F.col("high_fence")).alias("above"))
+    """(column, q1, median, q3, low_fence, high_fence, low_whisker, high_whisker, below, above)."""
+    q, _ = quantiles(df, {c: num(c) for c in names}, [0.25, 0.5, 0.75])
+    fences = {c: (v[0] - 1.5 * (v[2] - v[0]), v[2] + 1.5 * (v[2] - v[0])) for c, v in q.items() if v}
+    wanted = []
+    for i, (c, (low, high)) in enumerate(fences.items()):
+        x = num(c)
+        wanted += [F.min(F.when(x >= low, x)).alias(f"a{i}"), F.max(F.when(x <= high, x)).alias(f"b{i}"), F.count_if(x < low).alias(f"u{i}"), F.count_if(x > high).alias(f"o{i}")]
+    row = df.agg(*wanted).first().asDict() if wanted else {}
+    rows = [(c, *q[c], *fences[c], *(row[f"{k}{i}"] for k in "abuo")) for i, c in enumerate(fences)]
+    return df.sparkSession.createDataFrame(rows, "column string, q1 double, median double, q3 double, low_fence double, high_fence double, low_whisker double, high_whisker double, below long, above long")
+
+
+def outlier_values(df: DataFrame, name: str, top: int = 20) -> DataFrame:
+    """(value, count, side) of the values outside the box fences, the farthest first; top of them is the feature."""
+    fence = box_stats(df, [name]).first()
+    if fence is None:
+        return df.sparkSession.createDataFrame([], "value double, count long, side string")
+    x = F.col("value")
+    rows = df.select(num(name).alias("value")).where((x < fence["low_fence"]) | (x > fence["high_fence"])).groupBy("value").agg(F.count("*").alias("count"))
+    far = F.greatest(F.lit(fence["low_fence"]) - x, x - F.lit(fence["high_fence"]))
+    return rows.withColumn("side", F.when(x < fence["low_fence"], "low").otherwise("high")).orderBy(far.desc(), "value").limit(top)
 
 
 def isolation_scores(df: DataFrame, names, key: str, trees: int = 100, rows: int = 256, seed: int = 0) -> DataFrame:
@@ -198,11 +228,14 @@ def exact_duplicates(df: DataFrame, subset=None) -> DataFrame:
 
 def duplicate_groups(df: DataFrame, subset, order: str) -> DataFrame:
     """Rows of repeated keys with a group number, by first appearance in order."""
-    keys = [plain(df, c) for c in subset]
-    part = W.partitionBy(*keys)
-    tagged = df.withColumn("__n", F.count("*").over(part)).where("__n > 1").withColumn("__first", F.min(col(order)).over(part))
-    firsts = tagged.select("__first").distinct().withColumn("group", F.row_number().over(W.partitionBy().orderBy("__first")).cast("long"))
-    return tagged.join(firsts, "__first").drop("__n", "__first")
+    keys = [f"__k{i}" for i in range(len(subset))]
+    tagged = df.withColumns({k: plain(df, c) for k, c in zip(keys, subset, strict=True)})
+    groups = tagged.groupBy(*keys).agg(F.count("*").alias("__n"), F.min(col(order)).alias("__first")).where("__n > 1").withColumn("__one", F.lit(1).cast("long"))
+    groups = running(groups, ["__first"], ["__one"]).withColumnsRenamed({k: f"{k}_" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    return tagged.join(groups, same).withColumn("group", F.col("__one_upto")).drop(*keys, *(f"{k}_" for k in keys), "__n", "__first", "__one", "__one_upto")
 
 
 def conflicts(df: DataFrame, key: str) -> DataFrame:
@@ -243,11 +276,11 @@ def indel_ratio(a: str, b: str) -> float:
 
 
 def fuzzy_variants(df: DataFrame, name: str) -> list[list[str]]:
-    """Greedy clusters of similar normal forms; only for columns of up to FUZZY_MOST short forms."""
+    """Greedy clusters of similar normal forms of up to 30 characters. A column of over FUZZY_MOST such forms is refused: it is free text rather than spellings."""
     counts = df.where(col(name).isNotNull()).groupBy(normal_form(col(name)).alias("form")).agg(F.count("*").alias("n"))
     forms = counts.where(F.char_length("form") <= 30).orderBy(F.desc("n"), "form").limit(FUZZY_MOST + 1).collect()
     if len(forms) > FUZZY_MOST:
-        return []
+        raise EngineError(f"column {name!r} has over {FUZZY_MOST} spellings")
     heads: list[list[str]] = []
     for row in forms:
         form = row["form"]

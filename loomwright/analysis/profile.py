@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwright.functions.running import ranged_quantiles
 from loomwright.operators.base import INTEGRAL, NUMERIC, RID, col, num
 from loomwright.operators.text import NUMBER, stripped
 
@@ -129,25 +129,49 @@ def quantile(x, share: float) -> Column:
     return F.percentile(x, F.lit(share))
 
 
-def numeric_stats(df: DataFrame, names, exact: bool = True) -> DataFrame:
-    """Moments (bias-corrected skew and kurtosis), quantiles and outlier counts: one row for each column."""
-    each = unpivoted(df, names, num)
-    q = quantile if exact else lambda x, s: F.percentile_approx(x, F.lit(s), F.lit(10_000))
-    shares = {"p1": 0.01, "p5": 0.05, "q1": 0.25, "median": 0.5, "q3": 0.75, "p95": 0.95, "p99": 0.99}
-    first = each.groupBy("column").agg(
-        F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"),
-        *[q("x", s).alias(k) for k, s in shares.items()], F.skewness("x").alias("g1"), F.kurtosis("x").alias("g2"),
-        F.count_if(F.col("x") == 0).alias("zeros"), F.count_if(F.col("x") < 0).alias("negatives"),
-    )
-    n = F.col("count").cast("double")
-    skew = F.when((n > 2) & (F.col("std") > 0), F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2))
-    kurt = F.when((n > 3) & (F.col("std") > 0), ((n + 1) * F.col("g2") + 6) * (n - 1) / ((n - 2) * (n - 3)))
-    first = first.withColumn("skew", skew).withColumn("kurtosis", kurt).drop("g1", "g2")
-    far = each.join(F.broadcast(first.select("column", "mean", "std", "q1", "q3")), "column").groupBy("column").agg(
-        F.count_if((F.col("x") < F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) | (F.col("x") > F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))).alias("iqr_outliers"),
-        F.count_if(F.abs(F.col("x") - F.col("mean")) > 3 * F.col("std")).alias("z_outliers"),
-    )
-    return first.join(far, "column")
+#: Columns of more distinct values have their quantiles from ranged places, not from one task's table of values.
+PLACED_DISTINCT = 2_000_000
+
+
+def quantiles(df: DataFrame, values: dict[str, Column], shares: list[float], *extra: Column) -> tuple[dict[str, list[float] | None], dict]:
+    """(exact quantiles of each expression, what the extra aggregates give): one aggregate for all columns, but for those of very many distinct values."""
+    names = list(values)
+    many = df.agg(*[F.approx_count_distinct(values[c]).alias(f"d{i}") for i, c in enumerate(names)]).first() if names else ()
+    here = [i for i in range(len(names)) if many[i] <= PLACED_DISTINCT]
+    wanted = [F.percentile(values[names[i]], F.array(*map(F.lit, shares))).alias(f"q{i}") for i in here] + list(extra)
+    row = df.agg(*wanted).first().asDict() if wanted else {}
+    return {c: row.get(f"q{i}") if i in here else ranged_quantiles(df, values[c], shares) for i, c in enumerate(names)}, row
+
+
+def of_columns(df: DataFrame, names, **aggregates) -> list[Column]:
+    """Each aggregate of each column, named by the column's place."""
+    return [f(num(c)).alias(f"{k}{i}") for i, c in enumerate(names) for k, f in aggregates.items()]
+
+
+SHARES = {"p1": 0.01, "p5": 0.05, "q1": 0.25, "median": 0.5, "q3": 0.75, "p95": 0.95, "p99": 0.99}
+
+
+def numeric_stats(df: DataFrame, names) -> DataFrame:
+    """Moments (bias-corrected skew and kurtosis), quantiles and outlier counts: one row for each column, from three aggregates over all columns."""
+    names = list(names)
+    first = of_columns(df, names, count=F.count, mean=F.avg, std=F.stddev_samp, min=F.min, max=F.max, g1=F.skewness, g2=F.kurtosis, zeros=lambda x: F.count_if(x == 0), negatives=lambda x: F.count_if(x < 0))
+    q, row = quantiles(df, {c: num(c) for c in names}, list(SHARES.values()), *first)
+    far, out = [], []
+    for i, c in enumerate(names):
+        own = {k: row[f"{k}{i}"] for k in ("count", "mean", "std", "min", "max", "zeros", "negatives")} | dict(zip(SHARES, q[c] or [None] * len(SHARES), strict=True))
+        n, spread = own["count"], own["std"] or 0
+        own["skew"] = row[f"g1{i}"] * (n * (n - 1)) ** 0.5 / (n - 2) if n > 2 and spread > 0 else None
+        own["kurtosis"] = ((n + 1) * row[f"g2{i}"] + 6) * (n - 1) / ((n - 2) * (n - 3)) if n > 3 and spread > 0 else None
+        out.append({"column": c} | own)
+        if n:
+            reach = 1.5 * (own["q3"] - own["q1"])
+            far += [F.count_if((num(c) < own["q1"] - reach) | (num(c) > own["q3"] + reach)).alias(f"iqr{i}"), F.count_if(F.abs(num(c) - own["mean"]) > 3 * (own["std"] if own["std"] is not None else float("inf"))).alias(f"z{i}")]
+    found = df.agg(*far).first().asDict() if far else {}
+    rows = [o | {"iqr_outliers": found.get(f"iqr{i}", 0), "z_outliers": found.get(f"z{i}", 0)} for i, o in enumerate(out)]
+    whole = ("count", "zeros", "negatives", "iqr_outliers", "z_outliers")
+    order = ["column", "count", "mean", "std", "min", "max", *SHARES, "zeros", "negatives", "skew", "kurtosis", "iqr_outliers", "z_outliers"]
+    schema = ", ".join(f"{k} {'string' if k == 'column' else 'long' if k in whole else 'double'}" for k in order)
+    return df.sparkSession.createDataFrame([tuple(r[k] for k in order) for r in rows], schema)
 
 
 def histogram(df: DataFrame, name: str, bins: int = BINS) -> DataFrame:
@@ -162,9 +186,13 @@ def histogram(df: DataFrame, name: str, bins: int = BINS) -> DataFrame:
 
 
 def category_values(df: DataFrame, name: str) -> DataFrame:
-    total = W.partitionBy()
     counts = df.groupBy(F.coalesce(col(name).cast("string"), F.lit(MISSING_LABEL)).alias("value")).agg(F.count("*").alias("count"))
-    return counts.withColumn("pct", 100 * F.col("count") / F.sum("count").over(total))
+    return with_total(counts, "count").withColumn("pct", 100 * F.col("count") / F.col("__total")).drop("__total")
+
+
+def with_total(counts: DataFrame, name: str) -> DataFrame:
+    """counts with __total, the sum of a column: one row that is broadcast."""
+    return counts.crossJoin(F.broadcast(counts.agg(F.sum(name).alias("__total"))))
 
 
 def category_summary(df: DataFrame, name: str) -> DataFrame:

@@ -82,6 +82,116 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workspace_slice(spark, sf_dir)
 
 
+# -- SQL that several oracles share -------------------------------------------------------------
+
+
+def grid_sql(x, grid, places):
+    """The value at a place (from 0) of a list of points, linear between them."""
+    i = f"CAST(least(floor({places}), len({grid}) - 2) AS BIGINT)"
+    return f"({grid}[{i} + 1] + ({places} - {i}) * ({grid}[{i} + 2] - {grid}[{i} + 1]))"
+
+
+def shares_sql(n):
+    return "[" + ", ".join(repr(k / (n - 1)) for k in range(n)) + "]"
+
+
+ALIGN_SQL = f"""WITH g AS (SELECT quantile_cont(o_totalprice, {shares_sql(20)}) AS q FROM {TRAIN}),
+t AS (SELECT o_orderkey, (rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2.0 - 1) / (count(*) OVER () - 1) * 19 AS place FROM {TEST})
+SELECT o_orderkey, {r4(grid_sql("", "q", "place"))} AS o_totalprice FROM t, g"""
+
+
+def power_sql():
+    """Five grids of 17, each round the best of the one before; the gain is the log-likelihood of the powers as normal."""
+    out = ["WITH x AS (SELECT o_orderkey, o_totalprice AS x FROM orders), t AS (SELECT count(*) AS n, sum(ln(1 + x)) AS s FROM x), b0 AS (SELECT 1.0::DOUBLE AS lam, -3.0::DOUBLE AS low, 5.0::DOUBLE AS high)"]
+    for k in range(5):
+        out.append(f"""g{k} AS (SELECT low + i * ((high - low) / 16) AS lam, (high - low) / 16 AS step FROM b{k}, range(17) r(i)),
+v{k} AS (SELECT lam, any_value(step) AS step, var_pop(CASE WHEN abs(lam) < 1e-8 THEN ln(1 + x) ELSE (pow(x + 1, lam) - 1) / lam END) AS v FROM x, g{k} GROUP BY lam),
+b{k + 1} AS (SELECT lam, lam - step AS low, lam + step AS high FROM v{k}, t ORDER BY -n / 2.0 * ln(v) + (lam - 1) * s DESC, lam LIMIT 1)""")
+    out.append("y AS (SELECT o_orderkey, CASE WHEN abs(lam) < 1e-8 THEN ln(1 + x) ELSE (pow(x + 1, lam) - 1) / lam END AS y FROM x, b5), m AS (SELECT avg(y) AS m, stddev_pop(y) AS s FROM y)")
+    return ", ".join(out) + f" SELECT o_orderkey, {r4('(y - m) / s')} AS o_totalprice FROM y, m"
+
+
+QUANTILE_SQL = f"""WITH q AS (SELECT quantile_cont(o_totalprice, {shares_sql(100)}) AS q FROM orders),
+p AS (SELECT o_orderkey, o_totalprice AS x, q, least(greatest(len(list_filter(q, lambda v: v <= o_totalprice)), 1), 99) AS i FROM orders, q),
+u AS (SELECT o_orderkey, least(greatest((i - 1 + (x - q[i]) / (q[i + 1] - q[i])) / 99, 1e-7), 1 - 1e-7) AS u FROM p),
+t AS (SELECT o_orderkey, u, sqrt(-2 * ln(least(u, 1 - u))) AS t FROM u),
+z AS (SELECT o_orderkey, u, t - (2.515517 + t * (0.802853 + t * 0.010328)) / (1 + t * (1.432788 + t * (0.189269 + t * 0.001308))) AS z FROM t)
+SELECT o_orderkey, {r4("CASE WHEN u < 0.5 THEN -z ELSE z END")} AS o_totalprice FROM z"""
+
+
+def spline_sql():
+    """Cox - de Boor over five even knots, degree 3, one CTE for each degree."""
+    knot = lambda i: f"(a + ({i} - 3) * h)"
+    out = [f"WITH e AS (SELECT min(p_retailprice) AS a, max(p_retailprice) AS b, (max(p_retailprice) - min(p_retailprice)) / 4 AS h FROM part), d0 AS (SELECT p_partkey, least(greatest(p_retailprice, a), a + 4 * h) AS x, a, h, " + ", ".join(f"CASE WHEN least(greatest(p_retailprice, a), a + 4 * h) >= {knot(i)} AND least(greatest(p_retailprice, a), a + 4 * h) {'<=' if i == 6 else '<'} {knot(i + 1)} THEN 1.0::DOUBLE ELSE 0 END AS b{i}" if i <= 6 else f"0.0::DOUBLE AS b{i}" for i in range(10)) + " FROM part, e)"]
+    for d in range(1, 4):
+        out.append(f"d{d} AS (SELECT p_partkey, x, a, h, " + ", ".join(f"(x - {knot(i)}) / ({d} * h) * b{i} + ({knot(i + d + 1)} - x) / ({d} * h) * b{i + 1} AS b{i}" for i in range(10 - d)) + f" FROM d{d - 1})")
+    return ", ".join(out) + " SELECT p_partkey, " + ", ".join(f"{r4(f'b{i}')} AS p_retailprice_sp{i}" for i in range(7)) + " FROM d3"
+
+
+def pca_sql():
+    """Eigenvalues of a symmetric 3 x 3 matrix by its characteristic cubic, vectors as cross products of its shifted rows."""
+    names = ("l_quantity", "l_discount", "l_tax")
+    pairs = ((0, 1), (0, 2), (1, 2))
+    cells = ", ".join(f"corr({names[i]}, {names[j]}) AS r{i}{j}" for i, j in pairs)
+    moments = ", ".join(f"avg({c}) AS m{i}, stddev_pop({c}) AS s{i}" for i, c in enumerate(names))
+    # Correlations: the matrix less the unit; its trace is 0.
+    vector = lambda k: f"""v{k} AS (SELECT *, (r01 * r12 - r02 * (0 - l{k})) AS x{k}, (r02 * r01 - (0 - l{k}) * r12) AS y{k}, ((0 - l{k}) * (0 - l{k}) - r01 * r01) AS z{k} FROM {'l' if k == 1 else 'n1'}),
+n{k} AS (SELECT *, sqrt(x{k} * x{k} + y{k} * y{k} + z{k} * z{k}) * CASE WHEN (CASE WHEN abs(x{k}) >= abs(y{k}) AND abs(x{k}) >= abs(z{k}) THEN x{k} WHEN abs(y{k}) >= abs(z{k}) THEN y{k} ELSE z{k} END) < 0 THEN -1 ELSE 1 END AS w{k} FROM v{k})"""
+    return f"""WITH c AS (SELECT {cells}, {moments} FROM lineitem), p AS (SELECT *, sqrt((r01 * r01 + r02 * r02 + r12 * r12) / 3) AS p FROM c),
+f AS (SELECT *, acos(least(greatest(r01 * r02 * r12 / (p * p * p), -1), 1)) / 3 AS f FROM p), l AS (SELECT *, 2 * p * cos(f) AS l1, 2 * p * cos(f - 2 * pi() / 3) AS l2 FROM f),
+{vector(1)}, {vector(2)}
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, """ + ", ".join(r4(f"((l_quantity - m0) / s0 * x{k} + (l_discount - m1) / s1 * y{k} + (l_tax - m2) / s2 * z{k}) / w{k}") + f" AS pc{k}" for k in (1, 2)) + " FROM lineitem, n2"
+
+
+def bins_sql(x, t, n=20):
+    """A value's bin by a frame's quantiles, closed on the right; repeated cuts count once."""
+    cuts = "[" + ", ".join(repr(k / n) for k in range(1, n)) + "]"
+    return f"len(list_filter((SELECT list_distinct(quantile_cont({x}, {cuts})) FROM {t}), lambda c: {x} > c))"
+
+
+def information_sql(x, y, t):
+    """Mutual information in nats of two discrete expressions."""
+    return f"""(WITH p AS (SELECT {x} AS x, {y} AS y, count(*) AS n FROM {t} GROUP BY ALL), a AS (SELECT x, sum(n) AS nx FROM p GROUP BY 1), b AS (SELECT y, sum(n) AS ny FROM p GROUP BY 1), w AS (SELECT sum(n) AS w FROM p)
+SELECT greatest(0, sum(n / w * ln(n * w / (nx * ny)))) FROM p JOIN a USING (x) JOIN b USING (y), w)"""
+
+
+def eta_sql(x, g, t):
+    return f"(WITH m AS (SELECT {g} AS g, count(*) AS n, avg({x}) AS m FROM {t} GROUP BY 1), w AS (SELECT avg({x}) AS m, var_pop({x}) * count(*) AS q FROM {t}) SELECT sqrt(sum(n * (m.m - w.m) * (m.m - w.m)) / any_value(q)) FROM m, w)"
+
+
+def f_sql(x, g, t):
+    return f"(WITH m AS (SELECT {g} AS g, count(*) AS n, avg({x}) AS m, var_pop({x}) * count(*) AS q FROM {t} GROUP BY 1), w AS (SELECT avg({x}) AS m FROM {t}) SELECT (sum(n * (m.m - w.m) * (m.m - w.m)) / (count(*) - 1)) / (sum(q) / (sum(n) - count(*))) FROM m, w)"
+
+
+def cramers_sql(x, g, t):
+    return f"""(WITH p AS (SELECT {x} AS x, {g} AS g, count(*) AS o FROM {t} GROUP BY ALL), a AS (SELECT x, sum(o) AS nx FROM p GROUP BY 1), b AS (SELECT g, sum(o) AS ng FROM p GROUP BY 1), w AS (SELECT sum(o) AS n FROM p),
+c AS (SELECT nx * ng / n AS e, coalesce(o, 0) AS o FROM a CROSS JOIN b CROSS JOIN w LEFT JOIN p ON p.x = a.x AND p.g = b.g) SELECT sqrt(sum((o - e) * (o - e) / e) / (any_value(n) * (least((SELECT count(*) FROM a), (SELECT count(*) FROM b)) - 1))) FROM c, w)"""
+
+
+def psi_sql(x):
+    cuts = "[" + ", ".join(repr(k / 10) for k in range(1, 10)) + "]"
+    return f"""(WITH c AS (SELECT list_distinct(quantile_cont({x}, {cuts})) AS c FROM {TRAIN}), a AS (SELECT len(list_filter(c, lambda v: {x} > v)) AS k, count(*) * 1.0 / (SELECT count(*) FROM {TRAIN}) AS p FROM {TRAIN}, c GROUP BY 1), b AS (SELECT len(list_filter(c, lambda v: {x} > v)) AS k, count(*) * 1.0 / (SELECT count(*) FROM {TEST}) AS q FROM {TEST}, c GROUP BY 1),
+j AS (SELECT greatest(coalesce(p, 0), 1e-4) AS p, greatest(coalesce(q, 0), 1e-4) AS q FROM c, range(len(c) + 1) r(k) LEFT JOIN a ON a.k = r.k LEFT JOIN b ON b.k = r.k) SELECT sum((q - p) * ln(q / p)) FROM j)"""
+
+
+def ks_sql(x):
+    return f"""(WITH u AS (SELECT {x} AS x, 1 AS a, 0 AS b FROM {TRAIN} UNION ALL SELECT {x}, 0, 1 FROM {TEST}), c AS (SELECT x, sum(a) AS a, sum(b) AS b FROM u GROUP BY 1)
+SELECT max(gap) FROM (SELECT abs(sum(a) OVER w / (SELECT count(*) FROM {TRAIN}) - sum(b) OVER w / (SELECT count(*) FROM {TEST})) AS gap FROM c WINDOW w AS (ORDER BY x)))"""
+
+
+def drift_sql(x):
+    facts = {"mean": "avg({x})", "std": "stddev_samp({x})", "p1": "quantile_cont({x}, 0.01)", "median": "quantile_cont({x}, 0.5)", "p99": "quantile_cont({x}, 0.99)", "min": "min({x})", "max": "max({x})"}
+    side = lambda t, s: f"(SELECT {', '.join(f'{v.format(x=x)} AS {k}_{s}' for k, v in facts.items())} FROM {t}) {s}"
+    far = f"(SELECT 100.0 * avg(CAST({x} < p1_train AS INTEGER)) AS below, 100.0 * avg(CAST({x} > p99_train AS INTEGER)) AS above, 100.0 * avg(CAST({x} < min_train OR {x} > max_train AS INTEGER)) AS outside FROM {TEST}, {side(TRAIN, 'train')}) far"
+    named = ", ".join(f"{r4(f'{k}_{s}')} AS {k}_{s}" for s in ("train", "test") for k in facts)
+    return f"""WITH d AS (SELECT *, (mean_test - mean_train) / sqrt((std_train * std_train + std_test * std_test) / 2) AS smd, {ks_sql(x)} AS ks, {psi_sql(x)} AS psi FROM {side(TRAIN, 'train')}, {side(TEST, 'test')}, {far})
+SELECT '{x}' AS "column", CAST(NULL AS VARCHAR) AS skipped, {named}, {r4('smd')} AS smd, {r4('ks')} AS ks, {r4('psi')} AS psi, {r4('below')} AS pct_test_below_train_p1, {r4('above')} AS pct_test_above_train_p99, {r4('outside')} AS pct_test_outside_train_range,
+CASE WHEN psi >= 0.25 OR abs(smd) >= 0.5 OR ks >= 0.2 OR outside >= 5 THEN 'high' WHEN psi >= 0.1 THEN 'medium' ELSE 'low' END AS severity FROM d"""
+
+
+KENDALL_SQL = f"""WITH s AS (SELECT sum(sign(a.p_size - b.p_size) * sign(a.p_partkey - b.p_partkey)) AS s, sum(CAST(a.p_size <> b.p_size AS BIGINT)) AS x, sum(CAST(a.p_partkey <> b.p_partkey AS BIGINT)) AS y FROM part a, part b) SELECT {r4("s / sqrt(x * 1.0 * y)")} AS tau FROM s"""
+
+
 # -- the first slice: filter, scale, group statistics ------------------------------------------
 
 
@@ -291,26 +401,26 @@ def align_robust(spark, d):
     return rounded(op.apply(test, p, op.fit(train, p)))
 
 
-@query()
+@query(ALIGN_SQL)
 def align_quantile(spark, d):
     train, test = (x.select("o_orderkey", "o_totalprice") for x in sides(spark, d))
     op, p = get("align_to_train"), {"columns": ["o_totalprice"], "mode": "quantile", "n_quantiles": 20}
-    return op.apply(test, p, op.fit(train, p))
+    return rounded(op.apply(test, p, op.fit(train, p)))
 
 
-@query()
+@query(power_sql())
 def power_transform(spark, d):
-    return step(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "power_transform", columns=["o_totalprice"])
+    return rounded(step(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "power_transform", columns=["o_totalprice"]))
 
 
-@query()
+@query(QUANTILE_SQL)
 def quantile_transform(spark, d):
-    return step(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "quantile_transform", columns=["o_totalprice"], output_distribution="normal")
+    return rounded(step(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "quantile_transform", columns=["o_totalprice"], output_distribution="normal"))
 
 
-@query()
+@query(spline_sql())
 def spline(spark, d):
-    return step(table(spark, d, "part").select("p_partkey", "p_retailprice"), "spline", columns=["p_retailprice"])
+    return rounded(step(table(spark, d, "part").select("p_partkey", "p_retailprice"), "spline", columns=["p_retailprice"]))
 
 
 @query("SELECT p_partkey, CAST(p_size AS DOUBLE) AS p_size, p_retailprice, p_size * CAST(p_size AS DOUBLE) AS \"p_size^2\", p_size * p_retailprice AS \"p_size*p_retailprice\", p_retailprice * p_retailprice AS \"p_retailprice^2\" FROM part")
@@ -323,10 +433,10 @@ def interactions(spark, d):
     return step(table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), "interactions", columns=["p_size", "p_retailprice"])
 
 
-@query()
+@query(pca_sql())
 def pca(spark, d):
     df = lineitem(spark, d, *LINE_COLUMNS[:4], "l_quantity", "l_discount", "l_tax")
-    return step(df, "pca", columns=["l_quantity", "l_discount", "l_tax"], n_components=2)
+    return rounded(step(df, "pca", columns=["l_quantity", "l_discount", "l_tax"], n_components=2))
 
 
 # -- features ---------------------------------------------------------------------------------
@@ -485,7 +595,7 @@ def impute_iterative(spark, d):
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
 
-@query()
+@query("SELECT c_custkey, " + ", ".join(f"CAST(c_mktsegment = '{v}' AS INTEGER) AS \"c_mktsegment_{v}\"" for v in SEGMENTS) + " FROM customer")
 def onehot(spark, d):
     return step(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), "onehot", columns=["c_mktsegment"])
 
@@ -695,10 +805,10 @@ def corr_spearman(spark, d):
     return rounded(relations.spearman(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice"))
 
 
-@query()
+@query(KENDALL_SQL)
 def corr_kendall(spark, d):
     tau = relations.kendall(table(spark, d, "part"), "p_size", "p_partkey")
-    return spark.createDataFrame([(tau,)], "tau double")
+    return rounded(spark.createDataFrame([(tau,)], "tau double"))
 
 
 @query("""WITH g AS (SELECT DISTINCT l_returnflag AS "group" FROM lineitem), b AS (SELECT * FROM range(5) t(bin)), c AS (SELECT l_returnflag AS "group", least(CAST(floor(l_quantity / 10) AS BIGINT), 4) AS bin, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 0 AND 50 GROUP BY 1, 2)
@@ -747,9 +857,9 @@ def binned_target_mean(spark, d):
     return rounded(relations.binned_target_mean(table(spark, d, "lineitem"), "l_extendedprice", "l_quantity", 4), "low", "high")
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", {r4(information_sql(bins_sql(c, 'lineitem') if number else c, 'l_returnflag', 'lineitem'))} AS mutual_info, '{'eta' if number else 'cramers_v'}' AS measure, {r4((eta_sql if number else cramers_sql)(c, 'l_returnflag', 'lineitem'))} AS strength, {r4(f_sql(c, 'l_returnflag', 'lineitem')) if number else 'CAST(NULL AS DOUBLE)'} AS f" for c, number in (("l_quantity", True), ("l_linestatus", False), ("l_discount", True))))
 def association(spark, d):
-    return relations.association(table(spark, d, "lineitem"), ["l_quantity", "l_linestatus", "l_discount"], "l_returnflag")
+    return rounded(relations.association(table(spark, d, "lineitem"), ["l_quantity", "l_linestatus", "l_discount"], "l_returnflag").drop("rank"))
 
 
 @query(f"""WITH u AS (SELECT o_totalprice AS x, 1 AS a, 0 AS b FROM {TRAIN} UNION ALL SELECT o_totalprice, 0, 1 FROM {TEST}), c AS (SELECT x, sum(a) AS a, sum(b) AS b FROM u GROUP BY 1)
@@ -758,14 +868,14 @@ def drift_ks(spark, d):
     return rounded(relations.ks(*sides(spark, d), "o_totalprice"))
 
 
-@query()
+@query(f"SELECT {r4(psi_sql('o_totalprice'))} AS psi")
 def drift_psi(spark, d):
     return rounded(relations.psi(*sides(spark, d), "o_totalprice"))
 
 
-@query()
+@query(drift_sql("o_totalprice"))
 def numeric_drift(spark, d):
-    return relations.numeric_drift(*sides(spark, d), ["o_totalprice"])
+    return rounded(relations.numeric_drift(*sides(spark, d), ["o_totalprice"]))
 
 
 @query(f"""WITH a AS (SELECT o_orderpriority AS v, count(*) * 1.0 / (SELECT count(*) FROM {TRAIN}) AS p FROM {TRAIN} GROUP BY 1), b AS (SELECT o_orderpriority AS v, count(*) * 1.0 / (SELECT count(*) FROM {TEST}) AS p FROM {TEST} GROUP BY 1)

@@ -56,15 +56,23 @@ def dataset_overview(source):
 
 
 @key
-def train_test_check(train, test):
+def train_test_check(train, test, target=None):
     shared = [c for c in train.columns if c in test.columns and c != RID]
     kinds = by_kind(train.select(*shared))
-    out = {"columns": relations.compare_columns(train, test), "overlap": relations.row_overlap(train, test, shared)}
+    counters = [relations.row_counter(d, shared) for d in (train, test)]
+    counted = [c for c in shared if all(r.get(c) for r in counters)]
+    ids = [c for k in ("id_like", "group_id") for c in kinds.get(k, ())]
+    out = {
+        "columns": relations.compare_columns(train, test), "overlap": relations.row_overlap(train, test, [c for c in shared if c not in ids + counted] or shared),
+        "id_overlap": relations.id_overlap(train, test, ids), "issues": relations.issues(train, test, target),
+    }
     if numbers := [c for c in kinds.get("numeric", ()) if c in numeric_columns(test)]:
         out["numeric_drift"] = relations.numeric_drift(train, test, numbers)
+        out |= {f"histogram_pair:{c}": relations.histogram_pair(train, test, c) for c in numbers}
     for c in kinds.get("categorical", ()):
         out[f"categorical_drift:{c}"] = relations.categorical_shift(train, test, c)
         out[f"unseen:{c}"] = relations.unseen_values(train, test, c)
+        out[f"near_matches:{c}"] = relations.near_matches(train, test, c)
     return out
 
 
@@ -81,6 +89,7 @@ def missing_values(source, test=None):
 def outliers(source, columns=None, method="all"):
     names = columns or numeric_columns(source)
     out = {"outliers_per_column": cleanliness.univariate_outliers(source, names), "box_stats": cleanliness.box_stats(source, names)}
+    out |= {f"outlier_values:{c}": cleanliness.outlier_values(source, c) for c in names}
     if method in ("all", "isolation_forest"):
         out["flagged_rows"] = cleanliness.isolation_scores(source, names, RID).orderBy("score", ascending=False).limit(20)
     return out
@@ -100,7 +109,11 @@ def inconsistencies(source):
     kinds = by_kind(source)
     texts = kinds.get("categorical", []) + kinds.get("text", [])
     out = {f"variants:{c}": cleanliness.variants(source, c, RID) for c in texts}
-    out |= {f"fuzzy:{c}": cleanliness.fuzzy_variants(source, c) for c in kinds.get("categorical", ())}
+    for c in kinds.get("categorical", ()):
+        try:
+            out[f"fuzzy:{c}"] = cleanliness.fuzzy_variants(source, c)
+        except EngineError as refused:
+            out[f"fuzzy:{c}"] = [{"refused": str(refused)}]
     out |= {f"mixed_types:{c}": cleanliness.mixed_types(source, c) for c in texts}
     out |= {f"ambiguous_dates:{c}": cleanliness.ambiguous_dates(source, c) for c in texts}
     out |= {f"date_formats:{c}": cleanliness.date_formats(source, c) for c in texts}
@@ -144,12 +157,12 @@ def feature_selection(source, target, task="auto"):
     f, mi = f_scores(source, names, target, task), information_scores(source, names, target, task)
     rank = lambda s: {c: k + 1 for k, c in enumerate(sorted(names, key=lambda c: -s[c]))}
     a, b = rank(f), rank(mi)
-    return {"scores": [{"column": c, "f": f[c], "mutual_info": mi[c], "combined_rank": (a[c] + b[c]) / 2} for c in sorted(names, key=lambda c: a[c] + b[c])], "collinear_pairs": relations.correlated_pairs(source, names, 0.9, target)}
+    return {"scores": [{"column": c, "f": f[c], "mutual_info": mi[c], "combined_rank": (a[c] + b[c]) / 2} for c in sorted(names, key=lambda c: a[c] + b[c])], "collinear_pairs": relations.correlated_pairs(source, names, 0.9, target), "near_constant": relations.near_constant(source, [c for c in profile.names_of(source) if c != target]), "pca_variance": relations.pca_variance(source, names)}
 
 
 @key
-def preprocessing_advisor(source, target=None, model="linear"):
-    return {"recommendations": advisor.recommend(source, target, model)}
+def preprocessing_advisor(source, target=None, model="linear", test=None):
+    return {"recommendations": advisor.recommend(source, target, model, test)}
 
 
 @key

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomwright.errors import EngineError
+from loomwright.functions.running import value_counts
 from loomwright.operators.base import REQUIRED, col, need, need_numeric, no_clash, num, numeric_columns, one_row, transform, with_values
 
 #: More new columns than this are refused unless the step says so.
@@ -122,7 +123,7 @@ def align_to_train(df, p, state):
     for c in p["columns"]:
         need_numeric(df, c)
         x = num(c)
-        groups = W.partitionBy(col(p["group"])) if p["group"] else W.partitionBy()
+        groups = W.partitionBy(col(p["group"])) if p["group"] else None
         known = state[c].get("groups", {})
         cases = [(col(p["group"]).cast("string") == g, f) for g, f in known.items()] if p["group"] else []
         whole = df.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), percentile(x, 0.25, 0.5, 0.75).alias("q")).first()
@@ -149,15 +150,17 @@ def align_to_train(df, p, state):
             q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(window)
             # A rank among values; the ties' mean rank, missing values out of it.
             order = window.orderBy(x.asc_nulls_last())
-            ties = F.count(x).over(W.partitionBy(*([col(p["group"])] if p["group"] and window is groups else []), x))
+            ties = F.count(x).over(W.partitionBy(col(p["group"]), x))
             return {"n": F.count(x).over(window), "mean": F.avg(x).over(window), "std": F.stddev_samp(x).over(window), "median": q[1], "iqr": q[2] - q[0], "rank": F.rank().over(order) + (ties - 1) / 2}
 
-        alone = W.partitionBy()
+        lit = lambda v: F.lit(v).cast("double")
+        q = whole["q"] or [None] * 3
         if p["mode"] == "quantile":
-            base = local(alone)
+            # The mean rank of a value, from the values' places.
+            places = value_counts(df, x, "__value").select("__value", (F.col("n_upto") - F.col("n") + (F.col("n") + 1) / 2).alias("__rank"))
+            out = out.join(places, num(c) == F.col("__value"), "left").drop("__value")
+            base = {"n": F.lit(whole["n"]), "rank": F.col("__rank")}
         else:
-            lit = lambda v: F.lit(v).cast("double")
-            q = whole["q"] or [None] * 3
             base = {"n": F.lit(whole["n"]), "mean": lit(whole["mean"]), "std": lit(whole["std"]), "median": lit(q[1]), "iqr": lit(q[2] - q[0] if q[0] is not None else None)}
         value = moved(state[c]["all"], base)
         if cases:
@@ -168,7 +171,7 @@ def align_to_train(df, p, state):
                 chain = F.when(ok, moved(facts, mine)) if chain is None else chain.when(ok, moved(facts, mine))
             small = F.raise_error(F.lit(f"column {c}: a group has too few rows")).cast("double") if p["on_small"] == "raise" else value
             value = chain.otherwise(small)
-        out = with_values(out, {c: value})
+        out = with_values(out, {c: value}).drop("__rank")
     return out
 
 
