@@ -30,16 +30,27 @@ ROW = "__row"
 
 
 def head(spark: SparkSession, path: str, size: int = SAMPLE) -> bytes:
-    """The first bytes of a file, through Hadoop's file system."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    stream = where.getFileSystem(conf).open(where)
+    """The first bytes of a file, or of a folder's first file, through Hadoop's file system."""
+    jvm, where = spark._jvm, parts(spark, path)[0]
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
     try:
         return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, size)))
     finally:
         stream.close()
 
 
+def parts(spark: SparkSession, path: str) -> list:
+    """A path's files: itself, or those of a folder but for marks and hidden ones."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.getFileStatus(where).isDirectory():
+        return [where]
+    found = sorted((s.getPath() for s in files.listStatus(where) if s.isFile() and s.getPath().getName()[0] not in "_."), key=lambda p: p.getName())
+    if not found:
+        raise EngineError(f"{path}: no file")
+    return found
+
+
 def guess_encoding(raw: bytes) -> str:
     for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
         if raw.startswith(mark):
@@ -125,6 +136,8 @@ def read(spark: SparkSession, spec: dict) -> DataFrame:
         first = sum(bool(line.strip()) for line in text.splitlines()[:first])
     lines = with_rid(source, ROW).where(F.col(ROW) >= first + bool(p["header"]))
     lines = lines.where(F.trim("value") != "").withColumn("value", F.regexp_replace("value", "\r$", ""))
+    if p["header"] and len(parts(spark, p["path"])) > 1:  # every file of a folder has the header
+        lines = lines.where(F.col("value") != text.splitlines()[first])
     lines = mixed_separators(lines, sep, p)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField("__bad", T.StringType())])
     parsed = lines.select(F.col(ROW), F.from_csv("value", _ddl(schema), {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}).alias("r")).select(ROW, "r.*")
