@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from loomwright.analysis.profile import MISSING_LABEL, names_of, of_columns, quantile, quantiles, with_total
 from loomwright.functions.running import running
 from loomwright.operators.base import INTEGRAL, NUMERIC, col, is_numeric, num, one_row
-from loomwright.operators.select import binned, coded, f_scores, mutual_information
+from loomwright.operators.select import binned, bins_of, coded, f_scores, mutual_information
 from loomwright.session import written
 
 # Fixed values of the comparison.
@@ -242,13 +242,13 @@ def association(df: DataFrame, names, target: str) -> DataFrame:
     """(column, mutual_info, measure, strength, f, rank) with a target of classes, ranked by mutual information.
 
     measure names strength: eta, the correlation ratio, with F of the analysis of variance for a number; Cramer's V for a category."""
-    y, rows = coded(df, target), []
-    numbers = [c for c in names if is_numeric(df, c)]
+    rows, numbers = [], [c for c in names if is_numeric(df, c)]
+    words = {c: F.coalesce(col(c).cast("string"), F.lit(MISSING_LABEL)) for c in names if c not in numbers}
+    information = mutual_information(df, bins_of(df, numbers) | words, coded(df, target)) if names else {}
     scores = f_scores(df, numbers, target, "classification") if numbers else {}
     for c in names:
-        shared = float(mutual_information(df, binned(df, c) if c in numbers else F.coalesce(col(c).cast("string"), F.lit(MISSING_LABEL)), y))
         strength = correlation_ratio(df, c, target).first()["eta"] if c in numbers else cramers_v(df, c, target).first()["v"]
-        rows.append((c, shared, "eta" if c in numbers else "cramers_v", strength, scores.get(c)))
+        rows.append((c, information[c], "eta" if c in numbers else "cramers_v", strength, scores.get(c)))
     rows.sort(key=lambda r: -r[1])
     return df.sparkSession.createDataFrame([(*r, k + 1) for k, r in enumerate(rows)], "column string, mutual_info double, measure string, strength double, f double, rank int")
 

@@ -583,10 +583,21 @@ def impute_knn(spark, d):
     return step(df, "impute_knn", columns=["p_size", "p_retailprice"])
 
 
-@query()
+@query(f"""WITH c AS (SELECT c_custkey, c_acctbal, CASE WHEN c_custkey % 9 > 0 THEN c_nationkey END AS n FROM customer),
+d AS (SELECT a.c_custkey, b.n, row_number() OVER (PARTITION BY a.c_custkey ORDER BY abs(a.c_acctbal - b.c_acctbal)) AS k FROM c a JOIN c b ON a.n IS NULL AND b.n IS NOT NULL)
+SELECT c_custkey, c_acctbal, {r4("coalesce(n, (SELECT avg(d.n) FROM d WHERE d.c_custkey = c.c_custkey AND k <= 5))")} AS c_nationkey FROM c""")
+def impute_knn_one(spark, d):
+    """With one other column, the nearest rows are those of the nearest values."""
+    df = table(spark, d, "customer").select("c_custkey", "c_acctbal", F.expr("CASE WHEN c_custkey % 9 > 0 THEN c_nationkey END").alias("c_nationkey"))
+    return rounded(step(df, "impute_knn", columns=["c_nationkey", "c_acctbal"]), "c_acctbal")
+
+
+@query("""WITH p AS (SELECT p_partkey, p_retailprice, CASE WHEN p_partkey % 9 > 0 THEN p_size END AS s FROM part), f AS (SELECT regr_slope(s, p_retailprice) AS b, regr_intercept(s, p_retailprice) AS a FROM p)
+SELECT p_partkey, floor(coalesce(s, a + b * p_retailprice) * 100 + 0.5) / 100 AS p_size, p_retailprice FROM p, f""")
 def impute_iterative(spark, d):
+    """One column with missing values beside a whole one: its regression on that."""
     df = table(spark, d, "part").select("p_partkey", F.expr("CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_size END").alias("p_size"), "p_retailprice")
-    return step(df, "impute_iterative", columns=["p_size", "p_retailprice"], max_iter=3)
+    return step(df, "impute_iterative", columns=["p_size", "p_retailprice"], max_iter=3).withColumn("p_size", F.floor(F.col("p_size") * 100 + 0.5) / 100)
 
 
 # -- encoding and selection -------------------------------------------------------------------
@@ -660,13 +671,13 @@ def stats_sql(c, t):
     q = {"p1": 0.01, "p5": 0.05, "q1": 0.25, "median": 0.5, "q3": 0.75, "p95": 0.95, "p99": 0.99}
     return f"""(WITH s AS (SELECT quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.75) AS b, avg({c}) AS m, stddev_samp({c}) AS s FROM {t})
 SELECT '{c}' AS "column", count({c}) AS count, {r4(f"avg({c})")} AS mean, {r4(f"stddev_samp({c})")} AS std, min({c}) AS min, max({c}) AS max, {", ".join(f"{r4(f'quantile_cont({c}, {v})')} AS {k}" for k, v in q.items())},
-{r4(f"skewness({c})")} AS skew, count(*) FILTER ({c} = 0) AS zeros, count(*) FILTER ({c} < 0) AS negatives,
+{r4(f"skewness({c})")} AS skew, {r4(f"kurtosis({c})")} AS kurtosis, count(*) FILTER ({c} = 0) AS zeros, count(*) FILTER ({c} < 0) AS negatives,
 count(*) FILTER ({c} < a - 1.5 * (b - a) OR {c} > b + 1.5 * (b - a)) AS iqr_outliers, count(*) FILTER (abs({c} - m) > 3 * s) AS z_outliers FROM {t}, s)"""
 
 
 @query(stats_sql("l_quantity", "lineitem") + " UNION ALL " + stats_sql("l_extendedprice", "lineitem"))
 def numeric_stats(spark, d):
-    return rounded(profile.numeric_stats(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"]).drop("kurtosis"), "min", "max")
+    return rounded(profile.numeric_stats(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"]), "min", "max")
 
 
 @query("""WITH e AS (SELECT min(o_totalprice) AS a, max(o_totalprice) AS b FROM orders), c AS (SELECT least(CAST(floor((o_totalprice - a) / ((b - a) / 30)) AS BIGINT), 29) AS bin, count(*) AS n FROM orders, e GROUP BY 1)

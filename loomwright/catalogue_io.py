@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomwright.analysis import joins
 from loomwright.catalogue import SPLIT, lineitem, query, r4, rounded, sides, step, table
 from loomwright.pipeline import pipeline
-from loomwright.plans.workspace import Workspace, preview
+from loomwright.plans.workspace import Workspace, page, preview
 from loomwright.session import shared_folder
 from loomwright.sources import load, sinks, source_columns
 
@@ -129,6 +129,12 @@ def sort_rows(spark, d):
     return with_rid(step(df, "sort_rows", by=["o_orderpriority", "o_totalprice"], ascending=[False, True]), "place").select("o_orderkey", "place")
 
 
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus <> 'P' ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 50 OFFSET 10000")
+def page_deep(spark, d):
+    """A sorted, filtered page far down, found by the rows' places."""
+    return page(orders(spark, d).withColumn("_rid", F.col("o_orderkey")), 10_000, 50, ["o_orderkey", "o_totalprice"], [{"column": "o_orderstatus", "op": "ne", "value": "P"}], sort=["o_totalprice"], ascending=False)
+
+
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer")
 def label_join_order(spark, d):
     customer = table(spark, d, "customer").withColumn("_rid", F.col("c_custkey"))

@@ -19,6 +19,8 @@ from loomwright.session import shared_folder
 
 #: Rows of a block in which impute_knn searches at once.
 TRAIN_BLOCK, ASKED_BLOCK = 10_000, 256
+#: Asked rows whose distances to a block are found together.
+KNN_STEP = 64
 MISSING = "MISSING"
 STATISTICS = ("median", "mean", "most_frequent")
 
@@ -155,19 +157,25 @@ def impute_knn(df, p, state):
                 rows, keys = np.frombuffer(t.as_py()).reshape(-1, width), np.frombuffer(key.as_py(), dtype=np.int64)
                 have, zeroed = ~np.isnan(rows), np.nan_to_num(rows)
                 out: list[tuple] = []
-                for x in wanted:
-                    both = have & ~np.isnan(x)
-                    n = both.sum(axis=1)
+                for first in range(0, len(wanted), KNN_STEP):
+                    some = wanted[first : first + KNN_STEP]
+                    known, filled = ~np.isnan(some), np.nan_to_num(some)
+                    # Distances of some rows to the whole block, column by column.
+                    n, square = np.zeros((len(some), len(rows))), np.zeros((len(some), len(rows)))
+                    for i in range(width):
+                        both = known[:, i, None] & have[None, :, i]
+                        n += both
+                        square += np.where(both, (filled[:, i, None] - zeroed[None, :, i]) ** 2, 0)
                     with np.errstate(invalid="ignore", divide="ignore"):
-                        far = np.sqrt(np.where(both, (zeroed - np.nan_to_num(x)) ** 2, 0).sum(axis=1) * width / n)
-                    far[n == 0] = np.inf
-                    for j in np.flatnonzero(np.isnan(x)).tolist():
-                        usable = np.flatnonzero(have[:, j] & np.isfinite(far))
+                        far = np.where(n > 0, np.sqrt(square * width / n), np.inf)
+                    for q_, j in zip(*np.nonzero(~known), strict=True):
+                        near = np.where(have[:, j], far[q_], np.inf)
+                        usable = np.flatnonzero(np.isfinite(near))
                         if len(usable) > k:
-                            usable = usable[far[usable] <= np.partition(far[usable], k - 1)[k - 1]]
-                        near = usable[np.lexsort((rows[usable, j], keys[usable], far[usable]))[:k]]
-                        if len(near):
-                            out.append((x, j, [{"far": a, "key": b, "value": c} for a, b, c in zip(far[near].tolist(), keys[near].tolist(), rows[near, j].tolist(), strict=True)]))
+                            usable = usable[near[usable] <= np.partition(near[usable], k - 1)[k - 1]]
+                        usable = usable[np.lexsort((rows[usable, j], keys[usable], near[usable]))[:k]]
+                        if len(usable):
+                            out.append((some[q_], int(j), [{"far": a, "key": b, "value": c} for a, b, c in zip(near[usable].tolist(), keys[usable].tolist(), rows[usable, j].tolist(), strict=True)]))
                 if out:
                     x = np.array([o[0] for o in out])
                     columns = [pa.array(x[:, i], from_pandas=True) for i in range(width)]

@@ -110,22 +110,37 @@ def binned(df, name, bins=BINS):
     return F.when(x.isNotNull(), out)
 
 
-def mutual_information(df, x, y):
-    """In nats, from the counts of two discrete columns."""
-    pairs = df.select(x.alias("x"), y.alias("y")).dropna().groupBy("x", "y").count()
-    rows = pairs.select("x", "y", "count")
-    n = rows.agg(F.sum("count")).first()[0] or 0
-    if not n:
-        return 0.0
-    a = rows.groupBy("x").agg(F.sum("count").alias("nx"))
-    b = rows.groupBy("y").agg(F.sum("count").alias("ny"))
-    term = F.col("count") / n * F.log(F.col("count") * n / (F.col("nx") * F.col("ny")))
-    return max(0.0, rows.join(a, "x").join(b, "y").agg(F.sum(term)).first()[0] or 0.0)
+def bins_of(df, names, bins=BINS):
+    """Equal-mass bins of numeric columns, from one aggregate: {name: expression}."""
+    shares = F.array(*[F.lit(k / bins) for k in range(1, bins)])
+    found = one_row(df, *[F.percentile(num(c), shares).alias(f"q{i}") for i, c in enumerate(names)])
+    out = {}
+    for i, c in enumerate(names):
+        place = F.lit(0)
+        for cut in sorted(set(found[f"q{i}"] or [])):
+            place = place + (num(c) > cut).cast("int")
+        out[c] = F.when(num(c).isNotNull(), place)
+    return out
+
+
+def binned(df, name, bins=BINS):
+    return bins_of(df, [name], bins)[name]
+
+
+def mutual_information(df, features, y):
+    """{name: nats shared with y} of discrete expressions, from the counts of all pairs at once."""
+    each = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), x.cast("string").alias("x"), y.alias("y")) for c, x in features.items()])).alias("e")).select("e.*").where("x IS NOT NULL AND y IS NOT NULL")
+    pairs = each.groupBy("column", "x", "y").agg(F.count("*").alias("n"))
+    by = lambda *keys: pairs.groupBy("column", *keys).agg(F.sum("n").alias("n" + "".join(keys)))
+    joined = pairs.join(by("x"), ["column", "x"]).join(by("y"), ["column", "y"]).join(by().withColumnRenamed("n", "total"), "column")
+    term = F.col("n") / F.col("total") * F.log(F.col("n") * F.col("total") / (F.col("nx") * F.col("ny")))
+    found = {r["column"]: max(0.0, r["shared"]) for r in joined.groupBy("column").agg(F.sum(term).alias("shared")).collect()}  # one row a column
+    return {c: found.get(c, 0.0) for c in features}
 
 
 def information_scores(df, names, target, task):
     y = coded(df, target) if task == "classification" else binned(df, target)
-    return {c: mutual_information(df, binned(df, c), y) for c in names}
+    return mutual_information(df, bins_of(df, names), y)
 
 
 def best(scores, names, k, share):

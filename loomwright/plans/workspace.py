@@ -22,6 +22,8 @@ from loomwright.operators.rows import condition, sort_keys
 from loomwright.session import with_rid
 
 TARGETS = ("train", "test", "both")
+#: An offset from which a page is found by the rows' places.
+DEEP = 10_000
 
 
 @dataclass
@@ -113,7 +115,7 @@ class Workspace:
 
 
 def page(df: DataFrame, offset: int = 0, limit: int = 100, columns=None, filters=(), combine="and", sort=(), ascending=True) -> DataFrame:
-    """A page of rows: filter, sort (missing last), slice. A page at the head is a top-k; no offset makes a full sort on one node."""
+    """A page of rows: filter, sort (missing last), slice. A page near the head is a top-k; from DEEP on the rows are sorted in ranges and found by their place, so none are gathered on the driver."""
     for c in filters if combine == "and" else ():
         df = df.where(condition(df, c))
     if filters and combine == "or":
@@ -123,7 +125,11 @@ def page(df: DataFrame, offset: int = 0, limit: int = 100, columns=None, filters
         df = df.where(hit)
     keys = sort_keys(df, list(sort), ascending) if sort else []
     df = df.orderBy(*keys, F.col(RID)) if RID in df.columns else df.orderBy(*keys) if keys else df
-    df = df.offset(offset).limit(limit)
+    if offset >= DEEP:
+        place = F.col("__place")
+        df = with_rid(df, "__place").where((place >= offset) & (place < offset + limit)).orderBy("__place").drop("__place")
+    else:
+        df = df.offset(offset).limit(limit)
     return df.select(*columns) if columns else df
 
 
