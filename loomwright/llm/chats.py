@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomwright.session import written
+
 HEAD, TAIL = "<|im_start|>", "<|im_end|>"
 
 
@@ -30,23 +32,17 @@ def turns(chats: DataFrame) -> DataFrame:
 
 
 def prefixes(chats: DataFrame) -> DataFrame:
-    """turns with h1, h2: 128 bits over the first k turns (each turn's hash holds its place)."""
+    """turns with n, their conversation's number, and h1, h2: 128 bits over the first k (each turn's hash holds its place). A written table: turns are ordered once for all that reads them."""
     upto = W.partitionBy("conv_id").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
-    rows = turns(chats)
-    return rows.withColumn("h1", F.bit_xor(turn_hash(1)).over(upto)).withColumn("h2", F.bit_xor(turn_hash(2)).over(upto))
-
-
-def whole(chats: DataFrame) -> DataFrame:
-    """(conv_id, n, h1, h2) of whole conversations."""
-    each = turns(chats)
-    return each.groupBy("conv_id").agg(F.count("*").alias("n"), F.bit_xor(turn_hash(1)).alias("h1"), F.bit_xor(turn_hash(2)).alias("h2"))
+    rows = turns(chats).withColumn("h1", F.bit_xor(turn_hash(1)).over(upto)).withColumn("h2", F.bit_xor(turn_hash(2)).over(upto))
+    return written(rows.withColumn("n", F.count("*").over(W.partitionBy("conv_id"))), "chat-prefixes")
 
 
-def maximal(chats: DataFrame) -> DataFrame:
-    """(conv_id, n) of conversations that are no prefix of a longer one, one of each equal group."""
-    full = whole(chats).groupBy("n", "h1", "h2").agg(F.min("conv_id").alias("conv_id"))
-    rows = prefixes(chats)
-    proper = rows.withColumn("n", F.count("*").over(W.partitionBy("conv_id"))).where("k < n").select(F.col("k").cast("long").alias("n"), "h1", "h2").distinct()
+def maximal(rows: DataFrame) -> DataFrame:
+    """(conv_id, n) of conversations that are no prefix of a longer one, one of each equal group; rows are prefixes."""
+    key = [F.col("k").cast("long").alias("n"), "h1", "h2"]
+    full = rows.where("k = n").select(*key, "conv_id").groupBy("n", "h1", "h2").agg(F.min("conv_id").alias("conv_id"))
+    proper = rows.where("k < n").select(*key).distinct()
     return full.join(proper, ["n", "h1", "h2"], "left_anti").select("conv_id", "n")
 
 
@@ -54,7 +50,8 @@ def render(chats: DataFrame) -> DataFrame:
     """(conv_id, n_turns, text) of maximal conversations, in a chat template.
 
     The template's own markers in a turn are broken with a space, so no turn can pose as another."""
-    kept = turns(chats).join(maximal(chats), "conv_id")
+    each = prefixes(chats)
+    kept = each.select("conv_id", "k", "role", "text").join(maximal(each), "conv_id")
     safe = [F.regexp_replace(c, r"<\|(im_start|im_end)\|>", r"<| $1 |>") for c in ("role", "text")]
     line = F.concat(F.lit(HEAD), safe[0], F.lit("\n"), safe[1], F.lit(TAIL), F.lit("\n"))
     rows = kept.withColumn("line", F.struct("k", line.alias("s")))

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.session import written
+
 #: A key is hot if over one in so many rows has it; so there are fewer hot keys than this.
 HOT_SHARE = 1000
 
 
 def dealt(rows: DataFrame, key: list[str], most: int) -> DataFrame:
     """rows of keys that two rows have, with (one, two): a key with over `most` rows is dealt into parts, and each pair of parts is a group of its own, so that every two rows meet in a group of at most some 2 * most."""
+    rows = written(rows, "dealt")  # read for the counts, the hot keys and the others
     counts = rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     each = join_counted(rows, counts.withColumn("parts", F.ceil(F.col("n") / most).cast("int")), key).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))

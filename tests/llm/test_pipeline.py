@@ -90,10 +90,12 @@ def test_hot_groups_are_dealt(spark, monkeypatch):
 @pytest.mark.parametrize("rows", [None, []])
 def test_stages_keep_the_columns(spark, rows):
     frame = docs(spark, rows)
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, frame, SF)
-        assert out.columns == frame.columns and [f.dataType for f in out.schema] == [f.dataType for f in frame.schema]
-        assert out.count() <= len(awkward())
+    for given in (frame, frame.drop("n_chars")):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, given, SF)
+            assert out.columns == given.columns and [f.dataType for f in out.schema] == [f.dataType for f in given.schema]
+            assert out.count() <= len(awkward())
+    assert (corpus_pipeline.packed(spark, frame, SF).count() == 0) == (rows == [])
 
 
 def test_run_over_documents(spark):
