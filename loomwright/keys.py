@@ -11,7 +11,8 @@ from loomwright.errors import EngineError, UnknownName
 from loomwright.operators.base import RID, numeric_columns
 from loomwright.operators.select import f_scores, information_scores, task_of
 from loomwright.session import with_rid
-from loomwright.sources import load, source_columns
+from loomwright.sources import load
+from loomwright.sources.inspect import inspect
 
 KEYS: dict[str, Callable] = {}
 
@@ -24,7 +25,9 @@ def key(f: Callable) -> Callable:
 def run(spark: SparkSession, name: str, params: dict) -> dict:
     if name not in KEYS:
         raise UnknownName("analysis", name, KEYS)
-    given = {k: frame(spark, v) if k in ("source", "train", "test") or (name == "label_join_preview" and k in ("x", "y")) else v for k, v in params.items()}
+    given = {} if name == "file_inspect" else {k: frame(spark, v) if k in ("source", "train", "test") or (name == "label_join_preview" and k in ("x", "y")) else v for k, v in params.items()}
+    if name == "file_inspect":
+        return file_inspect(frame(spark, inspect(spark, params["source"])["load_spec"] or params["source"]), params["source"])
     return KEYS[name](**given)
 
 
@@ -180,8 +183,9 @@ def label_join_preview(x, y, key=None):
 
 
 @key
-def file_inspect(source):
-    return {"columns": source_columns(source), "rows": [{"rows": source.count()}], "head": source.orderBy(RID).limit(10)}
+def file_inspect(source, written):
+    found = inspect(source.sparkSession, written)
+    return found | {"rows": [{"rows": source.count()}], "head": source.orderBy(RID).limit(10)}
 
 
 @key

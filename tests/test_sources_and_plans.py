@@ -12,6 +12,7 @@ from loomwright.pipeline import pipeline
 from loomwright.plans.workspace import Workspace, changes, page, preview, removed
 from loomwright.session import with_rid
 from loomwright.sources import export, load, source_columns
+from loomwright.sources.inspect import inspect
 from loomwright.streaming import score_stream, windowed_counts
 
 
@@ -75,6 +76,31 @@ def test_workbook(spark, tmp_path):
     assert rows(load(spark, str(path))) == [(1, "x"), (2, None)]
 
 
+def facts(found):
+    return {f["name"]: f["value"] for f in found["facts"]}
+
+
+def test_inspect_csv(spark, tmp_path):
+    path = csv(tmp_path, "made by us\nid;price;name\n1;2,5;a\n2;3,75;b;c\n3;1,0;d\n".encode("cp1252"))["path"]
+    found = inspect(spark, path)
+    assert facts(found) == {"encoding": "utf-8", "sep": ";", "decimal": ",", "junk_lines": "1", "fields": "4", "ragged": "True", "files": "1"}
+    assert found["load_spec"] == {"kind": "csv", "path": path, "encoding": "utf-8", "sep": ";", "decimal": ",", "skiprows": 1, "on_bad_lines": "skip"} and found["lines"][0] == "made by us"
+    assert [(c["name"], c["dtype"]) for c in found["columns"]] == [("id", "bigint"), ("price", "double"), ("name", "string")] and load(spark, found["load_spec"]).count() == 2
+
+
+def test_inspect_json_and_parquet(spark, tmp_path):
+    path = tmp_path / "x.json"
+    path.write_text(json.dumps({"meta": {"n": 1}, "data": {"items": [{"a": 1}, {"a": 2}]}}, indent=1))
+    found = inspect(spark, str(path))
+    assert found["offers"] == [{"record_path": "data.items"}] and load(spark, found["load_spec"]).count() == 2
+    lined = tmp_path / "y.json"
+    lined.write_text('{"a": 1}\n{"a": 2}\n{"a": 3}\n')
+    found = inspect(spark, str(lined))
+    assert found["load_spec"]["lines"] is True and load(spark, found["load_spec"]).count() == 3
+    found = inspect(spark, "/root/testdata/sf0.001/nation.parquet")
+    assert facts(found) == {"files": "1", "rows": "25"} and found["kind"] == "parquet"
+
+
 def space(spark):
     train = spark.createDataFrame([(i, float(i), "a" if i % 2 else "b") for i in range(10)], "_rid long, v double, c string")
     test = spark.createDataFrame([(0, 100.0, "a"), (1, None, "z")], "_rid long, v double, c string")
