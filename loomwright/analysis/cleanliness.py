@@ -7,11 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwright.analysis.profile import clean, names_of, of_columns, plain, quantiles, unpivoted
+from loomwright.analysis.profile import CURRENCY, MONEY, clean, names_of, of_columns, plain, quantiles, unpivoted
 from loomwright.errors import EngineError
 from loomwright.functions.running import running
 from loomwright.operators.base import NUMERIC, col, num
-from loomwright.operators.text import stripped, unified
+from loomwright.operators.text import NUMBER, stripped, unified
 
 # Fixed values.
 DROP_PERCENT = 60.0
@@ -26,6 +26,8 @@ JACCARD = 0.5
 COOCCURRENCE_COLUMNS = 30
 FUZZY_RATIO = 90.0
 FUZZY_MOST = 2000
+MOSTLY = 0.8
+SKEWED = 1.0
 
 
 def missing_rates(df: DataFrame) -> DataFrame:
@@ -292,8 +294,6 @@ def fuzzy_variants(df: DataFrame, name: str) -> list[list[str]]:
 
 
 def mixed_types(df: DataFrame, name: str) -> DataFrame:
-    from loomwright.operators.text import NUMBER
-
     x = stripped(col(name))
     number = x.rlike(NUMBER)
     return df.agg(F.count_if(number).alias("numbers"), F.count_if(col(name).isNotNull() & ~number).alias("texts"))
@@ -331,3 +331,30 @@ def ambiguous_dates(df: DataFrame, name: str) -> DataFrame:
     return df.agg(F.count_if(x.rlike(form)).alias("dates"), F.count_if((a <= 12) & (b <= 12) & (a != b)).alias("ambiguous"))
 
 
+def text_facts(df: DataFrame) -> DataFrame:
+    """(column, spellings, forms, looks_like_dates, numbers_as_text, currency_as_text, skewed): one aggregate for all columns.
+
+    spellings and forms are a text column's distinct values, raw and in normal form; the flags hold where
+    most known values (MOSTLY) are written so. A number is only skewed or not."""
+    names, wanted = names_of(df), []
+    for i, c in enumerate(names):
+        if isinstance(df.schema[c].dataType, T.StringType):
+            x = stripped(col(c))
+            x = F.when(x != "", x)
+            bare = stripped(F.regexp_replace(x, CURRENCY, ""))
+            wanted += [
+                F.count(x).alias(f"n{i}"), F.count_distinct(col(c)).alias(f"raw{i}"), F.count_distinct(normal_form(col(c))).alias(f"form{i}"), F.count_if(date_format(x).isNotNull()).alias(f"date{i}"),
+                F.count_if(x.rlike(NUMBER)).alias(f"num{i}"), F.count_if(x.rlike(CURRENCY) & bare.rlike(MONEY)).alias(f"cur{i}"),
+            ]
+        elif isinstance(df.schema[c].dataType, NUMERIC):
+            wanted.append(F.skewness(num(c)).alias(f"skew{i}"))
+    row = df.agg(*wanted).first().asDict() if wanted else {}
+    rows = []
+    for i, c in enumerate(names):
+        if f"n{i}" in row:
+            n = row[f"n{i}"]
+            most = lambda k: bool(n) and row[f"{k}{i}"] >= MOSTLY * n  # noqa: B023, E731
+            rows.append((c, row[f"raw{i}"], row[f"form{i}"], most("date"), most("num"), most("cur"), False))
+        elif f"skew{i}" in row:
+            rows.append((c, 0, 0, False, False, False, abs(row[f"skew{i}"] or 0) > SKEWED))
+    return df.sparkSession.createDataFrame(rows, "column string, spellings long, forms long, looks_like_dates boolean, numbers_as_text boolean, currency_as_text boolean, skewed boolean")

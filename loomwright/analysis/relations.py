@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import difflib
 import itertools
 import math
 
@@ -436,6 +437,36 @@ def row_overlap(train: DataFrame, test: DataFrame, names) -> DataFrame:
     return test.select(key.alias("k")).join(train.select(key.alias("k")).distinct(), "k", "left_semi").agg(F.count("*").alias("overlap"))
 
 
+def align_report(train: DataFrame, test: DataFrame, label: str | None = None) -> DataFrame:
+    """(column, status, similar): label, match, missing_in_test, type_mismatch, value_mismatch (a category that train has not) or extra_in_test; similar names a column of the other side for one that has no partner."""
+    rows = []
+    ours, theirs = names_of(train), names_of(test)
+    for c in ours:
+        if c == label:
+            rows.append((c, "label", None))
+        elif c not in theirs:
+            near = difflib.get_close_matches(c, [t for t in theirs if t not in ours], 1)
+            rows.append((c, "missing_in_test", near[0] if near else None))
+        else:
+            a, b = train.schema[c].dataType, test.schema[c].dataType
+            alike = a == b or isinstance(a, NUMERIC) and isinstance(b, NUMERIC)
+            new = alike and isinstance(a, T.StringType) and unseen_values(train, test, c).where("side = 'test'").limit(1).count() > 0
+            rows.append((c, "type_mismatch" if not alike else "value_mismatch" if new else "match", None))
+    for c in theirs:
+        if c not in ours:
+            near = difflib.get_close_matches(c, [t for t in ours if t not in theirs and t != label], 1)
+            rows.append((c, "extra_in_test", near[0] if near else None))
+    return train.sparkSession.createDataFrame(rows, "column string, status string, similar string")
+
+
+def vs_by(df: DataFrame, column: str, by: str) -> DataFrame:
+    """(method, corr, n): Pearson's and Spearman's correlation of two numeric columns over rows where both are known."""
+    both = num(column).isNotNull() & num(by).isNotNull()
+    row = one_row(df, F.corr(num(column), num(by)).alias("r"), F.count_if(both).alias("n"))
+    found = [("pearson", _finite(row["r"]), row["n"]), ("spearman", _finite(spearman(df, column, by).first()["corr"]), row["n"])]
+    return df.sparkSession.createDataFrame(found, "method string, corr double, n long")
+
+
 def compare_columns(train: DataFrame, test: DataFrame) -> DataFrame:
     """(column, train_dtype, test_dtype, train_missing_pct, test_missing_pct, status)."""
     def rates(df):

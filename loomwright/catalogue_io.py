@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomwright.analysis import joins
 from loomwright.catalogue import SPLIT, lineitem, query, r4, rounded, sides, step, table
 from loomwright.pipeline import pipeline
-from loomwright.plans.workspace import Workspace, page, preview
+from loomwright.plans.workspace import Workspace, column_notes, page, preview
 from loomwright.session import shared_folder
 from loomwright.sources import load, sinks, source_columns
 
@@ -152,3 +152,12 @@ def ml_stages(spark, d):
     """Two transforms as stages of a pyspark.ml pipeline."""
     df = lineitem(spark, d, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     return rounded(pipeline([{"op": "clip", "params": {"columns": ["l_quantity"], "upper": 40.0}}, {"op": "scale", "params": {"columns": ["l_quantity"]}}]).fit(df).transform(df))
+
+
+@query("SELECT 'order_id' AS \"column\", 'o_orderkey' AS raw, 'the key' AS note UNION ALL SELECT 'x_o_totalprice', 'o_totalprice', 'in euros'")
+def column_notes_(spark, d):
+    """Notes follow their columns through renames."""
+    made = Workspace("orders", {"train": {"kind": "parquet", "path": f"{d}/orders.parquet"}}, notes={"o_orderkey": "the key", "o_totalprice": "in euros"})
+    made.add("rename", {"mapping": {"o_orderkey": "order_id"}}).add("rename_columns_bulk", {"columns": ["o_totalprice"], "prefix": "x_"})
+    found = column_notes(made, spark)
+    return spark.createDataFrame([(c, found["keys"][c], text) for c, text in found["notes"].items()], "column string, raw string, note string")

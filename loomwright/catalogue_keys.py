@@ -220,3 +220,27 @@ def chart_density(spark, d):
 def impute_benchmark(spark, d):
     """Known cells hidden by a seeded hash, filled by three strategies: errors of each."""
     return advisor.impute_benchmark(orders(spark, d), ["o_totalprice"])
+
+
+@query("""SELECT 'o_orderkey' AS "column", 'match' AS status, CAST(NULL AS VARCHAR) AS similar UNION ALL SELECT 'o_orderpriority', 'value_mismatch', NULL UNION ALL SELECT 'o_totalprice', 'label', NULL UNION ALL SELECT 'o_custkey', 'type_mismatch', NULL UNION ALL SELECT 'o_orderstatus', 'missing_in_test', 'o_order_status' UNION ALL SELECT 'o_order_status', 'extra_in_test', 'o_orderstatus'""")
+def align_report(spark, d):
+    train, test = sides(spark, d)
+    test = test.select("o_orderkey", F.expr(SPELLED).alias("o_orderpriority"), F.col("o_custkey").cast("string").alias("o_custkey"), F.col("o_orderstatus").alias("o_order_status"))
+    return relations.align_report(train.select("o_orderkey", "o_orderpriority", "o_totalprice", "o_custkey", "o_orderstatus"), test, "o_totalprice")
+
+
+@query(f"""WITH r AS (SELECT l_quantity AS x, l_discount AS y, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS rx, rank() OVER (ORDER BY l_discount) + (count(*) OVER (PARTITION BY l_discount) - 1) / 2.0 AS ry FROM lineitem)
+SELECT 'pearson' AS method, {r4("corr(x, y)")} AS corr, count(*) AS n FROM r UNION ALL SELECT 'spearman', {r4("corr(rx, ry)")}, count(*) FROM r""")
+def vs_by(spark, d):
+    return rounded(relations.vs_by(table(spark, d, "lineitem"), "l_quantity", "l_discount"))
+
+
+@query("""SELECT 'city' AS "column", count(DISTINCT CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE p_brand END) AS spellings, count(DISTINCT p_brand) AS forms, false AS looks_like_dates, false AS numbers_as_text, false AS currency_as_text, false AS skewed FROM part
+UNION ALL SELECT 'day', count(DISTINCT p_partkey % 28), count(DISTINCT p_partkey % 28), true, false, false, false FROM part UNION ALL SELECT 'digits', count(DISTINCT p_size), count(DISTINCT p_size), false, true, false, false FROM part
+UNION ALL SELECT 'price', count(DISTINCT p_size), count(DISTINCT p_size), false, false, true, false FROM part UNION ALL SELECT 'long_tail', 0, 0, false, false, false, true""")
+def text_facts(spark, d):
+    df = table(spark, d, "part").select(
+        F.expr("CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE p_brand END").alias("city"), F.expr("concat(p_partkey % 28 + 1, ' Mar 2001')").alias("day"), F.col("p_size").cast("string").alias("digits"), F.expr("concat('EUR ', p_size)").alias("price"),
+        F.pow(F.lit(1.01), F.col("p_partkey") % 900).alias("long_tail"),
+    )
+    return cleanliness.text_facts(df)

@@ -67,7 +67,7 @@ def train_test_check(train, test, target=None):
     ids = [c for k in ("id_like", "group_id") for c in kinds.get(k, ())]
     out = {
         "columns": relations.compare_columns(train, test), "overlap": relations.row_overlap(train, test, [c for c in shared if c not in ids + counted] or shared),
-        "id_overlap": relations.id_overlap(train, test, ids), "issues": relations.issues(train, test, target),
+        "id_overlap": relations.id_overlap(train, test, ids), "issues": relations.issues(train, test, target), "align": relations.align_report(train, test, target),
     }
     if numbers := [c for c in kinds.get("numeric", ()) if c in numeric_columns(test)]:
         out["numeric_drift"] = relations.numeric_drift(train, test, numbers)
@@ -119,6 +119,7 @@ def inconsistencies(source):
             out[f"fuzzy:{c}"] = [{"refused": str(refused)}]
     out |= {f"mixed_types:{c}": cleanliness.mixed_types(source, c) for c in texts}
     out |= {f"ambiguous_dates:{c}": cleanliness.ambiguous_dates(source, c) for c in texts}
+    out["text_facts"] = cleanliness.text_facts(source)
     out |= {f"date_formats:{c}": cleanliness.date_formats(source, c) for c in texts}
     return out
 
@@ -139,7 +140,8 @@ def column_distribution(source, column, by, bins=None, top=10):
         row = source.selectExpr(f"min(`{column}`) AS a", f"max(`{column}`) AS b").first()
         n = bins or relations.suggested_bins(source, column)
         edges = [row["a"] + (row["b"] - row["a"]) * k / n for k in range(n)] + [row["b"]]
-        return {"histograms": relations.numeric_distribution(source, column, by, edges), "numeric_summary": relations.numeric_by_class(source, column, by)}
+        out = {"histograms": relations.numeric_distribution(source, column, by, edges), "numeric_summary": relations.numeric_by_class(source, column, by)}
+        return out | ({"vs_by": relations.vs_by(source, column, by), "scatter": charts.points(source, by, column)} if by in numeric_columns(source) else {})
     return {"value_counts": relations.categorical_distribution(source, column, by, top)}
 
 

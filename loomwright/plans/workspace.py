@@ -18,6 +18,7 @@ from loomwright.analysis.joins import join_by_order, join_labels, merge_table
 from loomwright.errors import EngineError, UnknownName
 from loomwright.operators import get
 from loomwright.operators.base import RID
+from loomwright.operators.columns import RULES
 from loomwright.operators.rows import condition, sort_keys
 from loomwright.session import with_rid
 
@@ -33,6 +34,8 @@ class Workspace:
     label: dict | None = None
     merges: list = field(default_factory=list)
     steps: list = field(default_factory=list)
+    #: Texts about columns, by their names in the raw frame.
+    notes: dict = field(default_factory=dict)
 
     # -- documents --
     @classmethod
@@ -114,6 +117,21 @@ class Workspace:
         return self.replay(spark, version, [role])[0][role]
 
 
+def column_notes(space: Workspace, spark: SparkSession, role: str = "train", version: int | None = None) -> dict:
+    """notes under the columns' names after the first `version` steps, and keys: the raw name of each column that has another by then."""
+    now = {c: c for c in space.raw(spark, role).columns if c != RID}
+    for s in space.steps if version is None else space.steps[:version]:
+        if s["target"] not in (role, "both"):
+            continue
+        p = s["params"]
+        if s["op"] == "rename":
+            now = {raw: p["mapping"].get(c, c) for raw, c in now.items()}
+        elif s["op"] == "rename_columns_bulk":
+            change = RULES[p.get("rule")]
+            now = {raw: p.get("prefix", "") + change(c) + p.get("suffix", "") if not p.get("columns") or c in p["columns"] else c for raw, c in now.items()}
+    return {"notes": {now[raw]: text for raw, text in space.notes.items() if raw in now}, "keys": {c: raw for raw, c in now.items() if c != raw}}
+
+
 def page(df: DataFrame, offset: int = 0, limit: int = 100, columns=None, filters=(), combine="and", sort=(), ascending=True) -> DataFrame:
     """A page of rows: filter, sort (missing last), slice. A page near the head is a top-k; from DEEP on the rows are sorted in ranges and found by their place, so none are gathered on the driver."""
     for c in filters if combine == "and" else ():
