@@ -408,6 +408,26 @@ def align_quantile(spark, d):
     return rounded(op.apply(test, p, op.fit(train, p)))
 
 
+GROUP_ALIGN_SQL = f"""WITH a AS (SELECT o_orderstatus AS g, avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s FROM {TRAIN} GROUP BY 1), b AS (SELECT o_orderstatus AS g, avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s FROM {TEST} GROUP BY 1)
+SELECT o_orderkey, o_orderstatus, {r4("(o_totalprice - b.m) * a.s / b.s + a.m")} AS o_totalprice FROM {TEST} t JOIN a ON a.g = o_orderstatus JOIN b ON b.g = o_orderstatus"""
+
+
+@query(GROUP_ALIGN_SQL)
+def align_group(spark, d):
+    train, test = (x.select("o_orderkey", "o_orderstatus", "o_totalprice") for x in sides(spark, d))
+    op, p = get("align_to_train"), {"columns": ["o_totalprice"], "mode": "standardize", "group": "o_orderstatus"}
+    return rounded(op.apply(test, p, op.fit(train, p)))
+
+
+@query(f"""WITH g AS (SELECT o_orderstatus AS g, quantile_cont(o_totalprice, {shares_sql(20)}) AS q FROM {TRAIN} GROUP BY 1),
+t AS (SELECT o_orderkey, o_orderstatus, (rank() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_orderstatus, o_totalprice) - 1) / 2.0 - 1) / (count(*) OVER (PARTITION BY o_orderstatus) - 1) * 19 AS place FROM {TEST})
+SELECT o_orderkey, o_orderstatus, {r4(grid_sql("", "q", "place"))} AS o_totalprice FROM t JOIN g ON g = o_orderstatus""")
+def align_group_quantile(spark, d):
+    train, test = (x.select("o_orderkey", "o_orderstatus", "o_totalprice") for x in sides(spark, d))
+    op, p = get("align_to_train"), {"columns": ["o_totalprice"], "mode": "quantile", "group": "o_orderstatus", "n_quantiles": 20}
+    return rounded(op.apply(test, p, op.fit(train, p)))
+
+
 @query(power_sql())
 def power_transform(spark, d):
     return rounded(step(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "power_transform", columns=["o_totalprice"]))

@@ -86,6 +86,11 @@ def log1p(df, p, state):
 # -- alignment --------------------------------------------------------------------------------
 
 
+#: Groups of a state at most, some 1 KB each.
+MOST_GROUPS = 20_000
+FACTS = "n long, mean double, std double, q array<double>, grid array<double>"
+
+
 def location_facts(x, n_quantiles):
     return {
         "n": F.count(x), "mean": F.avg(x), "std": F.stddev_samp(x), "q": percentile(x, 0.25, 0.5, 0.75),
@@ -98,15 +103,41 @@ def fit_align(df, p):
     for c in p["columns"]:
         need_numeric(df, c)
         facts = location_facts(num(c), p["n_quantiles"] if p["mode"] == "quantile" else 2)
-        whole = df.agg(*[v.alias(k) for k, v in facts.items()]).first().asDict()
-        out[c] = {"all": whole}
+        out[c] = {"all": df.agg(*[v.alias(k) for k, v in facts.items()]).first().asDict()}
         if p["group"]:
             need(df, p["group"])
-            rows = df.where(col(p["group"]).isNotNull()).groupBy(col(p["group"]).cast("string").alias("g")).agg(*[v.alias(k) for k, v in facts.items()]).collect()
-            out[c]["groups"] = {r["g"]: {k: r[k] for k in facts} for r in rows if r["n"] >= p["min_rows"]}
+            groups = df.where(col(p["group"]).isNotNull()).groupBy(col(p["group"]).cast("string").alias("g")).agg(*[v.alias(k) for k, v in facts.items()])
+            rows = groups.where(F.col("n") >= p["min_rows"]).limit(MOST_GROUPS + 1).collect()
+            if len(rows) > MOST_GROUPS:
+                raise EngineError(f"align_to_train: {p['group']!r} has over {MOST_GROUPS} groups")
+            out[c]["groups"] = {r["g"]: {k: r[k] for k in facts} for r in rows}
     return out
 
 
+def point_of(grid, share):
+    """The value at a share (0 .. 1) of an array of points, linear between them."""
+    place = share * (F.size(grid) - 1)
+    low = F.least(F.floor(place), F.size(grid) - 2).cast("int")
+    a, b = F.get(grid, low), F.get(grid, low + 1)
+    return a + (place - low) * (b - a)
+
+
+def aligned(x, mode, target, own):
+    """x moved from its own frame's location (and spread, or ranks) to the target's: dicts of columns."""
+    if mode == "shift_mean":
+        value = x + (target["mean"] - own["mean"])
+    elif mode == "shift_median":
+        value = x + (target["q"][1] - own["q"][1])
+    elif mode == "standardize":
+        value = (x - own["mean"]) * F.when(own["std"] > 0, F.coalesce(target["std"], F.lit(0.0)) / own["std"]).otherwise(1.0) + target["mean"]
+    elif mode == "robust":
+        wide = own["q"][2] - own["q"][0]
+        value = (x - own["q"][1]) * F.when(wide > 0, (target["q"][2] - target["q"][0]) / wide).otherwise(1.0) + target["q"][1]
+    else:
+        value = F.when(x.isNotNull(), point_of(target["grid"], F.when(own["n"] > 1, (own["rank"] - 1) / (own["n"] - 1)).otherwise(0.5)))
+    return F.when(target["n"] > 0, value).otherwise(x)
+
+
 def interpolated(x, xs, ys):
     """Piecewise linear through (xs, ys), flat outside; xs ascend."""
     out = F.lit(float(ys[-1]))
@@ -119,59 +150,38 @@ def interpolated(x, xs, ys):
 @transform("align_to_train", fit=fit_align, columns=REQUIRED, mode="shift_mean", group=None, min_rows=30, on_small="skip", n_quantiles=100)
 def align_to_train(df, p, state):
     """Move each frame's own location (and spread, or ranks) to train's; per group, small groups by the whole. Looks at the frame's rows."""
-    out = df
+    if p["mode"] not in ("shift_mean", "shift_median", "standardize", "robust", "quantile"):
+        raise EngineError(f"unknown mode {p['mode']!r}")
+    out, ranked = df, p["mode"] == "quantile"
+    constant = lambda facts: {k: F.lit(v).cast(t) if not isinstance(v, list) else F.array(*map(F.lit, v)) for (k, t), v in zip((f.split() for f in FACTS.split(", ")), facts, strict=True)}
     for c in p["columns"]:
         need_numeric(df, c)
         x = num(c)
-        groups = W.partitionBy(col(p["group"])) if p["group"] else None
-        known = state[c].get("groups", {})
-        cases = [(col(p["group"]).cast("string") == g, f) for g, f in known.items()] if p["group"] else []
-        whole = df.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), percentile(x, 0.25, 0.5, 0.75).alias("q")).first()
-
-        def moved(target, own, c=c, x=x):
-            mode = p["mode"]
-            one = lambda v: v if v is not None else F.lit(None).cast("double")
-            if target["n"] == 0:
-                return x
-            if mode == "shift_mean":
-                return x + (F.lit(target["mean"]) - one(own["mean"]))
-            if mode == "shift_median":
-                return x + (F.lit(target["q"][1]) - own["median"])
-            if mode == "standardize":
-                spread = F.when(F.coalesce(own["std"], F.lit(0.0)) > 0, F.lit(target["std"] or 0.0) / own["std"]).otherwise(1.0)
-                return (x - own["mean"]) * spread + F.lit(target["mean"])
-            if mode == "robust":
-                spread = F.when(own["iqr"] > 0, F.lit(target["q"][2] - target["q"][0]) / own["iqr"]).otherwise(1.0)
-                return (x - own["median"]) * spread + F.lit(target["q"][1])
-            share = F.when(own["n"] > 1, (own["rank"] - 1) / (own["n"] - 1)).otherwise(0.5)
-            return interpolated(share, np.linspace(0, 1, len(target["grid"])).tolist(), target["grid"])
-
-        def local(window, x=x):
-            q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(window)
-            # A rank among values; the ties' mean rank, missing values out of it.
-            order = window.orderBy(x.asc_nulls_last())
-            ties = F.count(x).over(W.partitionBy(col(p["group"]), x))
-            return {"n": F.count(x).over(window), "mean": F.avg(x).over(window), "std": F.stddev_samp(x).over(window), "median": q[1], "iqr": q[2] - q[0], "rank": F.rank().over(order) + (ties - 1) / 2}
-
-        lit = lambda v: F.lit(v).cast("double")
-        q = whole["q"] or [None] * 3
-        if p["mode"] == "quantile":
+        facts = location_facts(x, 2)
+        whole = df.agg(*[v.alias(k) for k, v in facts.items()]).first()
+        own = constant(whole)
+        if ranked:
             # The mean rank of a value, from the values' places.
             places = value_counts(df, x, "__value").select("__value", (F.col("n_upto") - F.col("n") + (F.col("n") + 1) / 2).alias("__rank"))
-            out = out.join(places, num(c) == F.col("__value"), "left").drop("__value")
-            base = {"n": F.lit(whole["n"]), "rank": F.col("__rank")}
-        else:
-            base = {"n": F.lit(whole["n"]), "mean": lit(whole["mean"]), "std": lit(whole["std"]), "median": lit(q[1]), "iqr": lit(q[2] - q[0] if q[0] is not None else None)}
-        value = moved(state[c]["all"], base)
-        if cases:
-            mine = local(groups)
-            chain = None
-            for hit, facts in cases:
-                ok = hit & (mine["n"] >= p["min_rows"])
-                chain = F.when(ok, moved(facts, mine)) if chain is None else chain.when(ok, moved(facts, mine))
+            out = out.join(places, x == F.col("__value"), "left").drop("__value")
+            own["rank"] = F.col("__rank")
+        value = aligned(x, p["mode"], constant([state[c]["all"][k] for k in facts]), own)
+        if p["group"]:
+            group = col(p["group"]).cast("string")
+            learned = df.sparkSession.createDataFrame([(g, tuple(f[k] for k in facts)) for g, f in state[c]["groups"].items()], f"__g string, __target struct<{FACTS.replace(' ', ':').replace(',:', ',')}>")
+            here = df.where(group.isNotNull()).groupBy(group.alias("__h")).agg(F.struct(*[v.alias(k) for k, v in facts.items()]).alias("__own"))
+            out = out.join(F.broadcast(learned), group == F.col("__g"), "left").join(here, group == F.col("__h"), "left")  # learned: MOST_GROUPS rows at most
+            mine = {k: F.col(f"__own.{k}") for k in facts}
+            if ranked:
+                counts = df.select(group.alias("__k"), x.alias("__value")).dropna().groupBy("__k", "__value").agg(F.count("*").alias("__n"))
+                below = F.coalesce(F.sum("__n").over(W.partitionBy("__k").orderBy("__value").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+                counts = counts.select("__k", "__value", (below + (F.col("__n") + 1) / 2).alias("__place"))
+                out = out.join(counts, (group == F.col("__k")) & (x == F.col("__value")), "left")
+                mine["rank"] = F.col("__place")
             small = F.raise_error(F.lit(f"column {c}: a group has too few rows")).cast("double") if p["on_small"] == "raise" else value
-            value = chain.otherwise(small)
-        out = with_values(out, {c: value}).drop("__rank")
+            enough = F.col("__target").isNotNull() & (mine["n"] >= p["min_rows"])
+            value = F.when(enough, aligned(x, p["mode"], {k: F.col(f"__target.{k}") for k in facts}, mine)).otherwise(small)
+        out = with_values(out, {c: value}).drop("__rank", "__g", "__target", "__h", "__own", "__k", "__value", "__place")
     return out
 
 
