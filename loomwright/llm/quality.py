@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomwright.llm.text import MIX, Words, slices, window_hashes, window_ok
-from loomwright.session import bounded_broadcast, ship
+from loomwright.session import bounded_broadcast, ship, spread_small
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -96,7 +96,7 @@ def counts(texts: list[bytes]) -> dict[str, np.ndarray]:
 def features(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
     """The columns keep of every row, and its counts under names with two leading underscores."""
     ship(docs.sparkSession)
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("__text"))
+    rows = spread_small(docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("__text")), f"`{keep[0]}`")
     fields = [rows.schema[c].simpleString().split(":", 1)[1] for c in keep]
     schema = ", ".join([*(f"`{c}` {t}" for c, t in zip(keep, fields, strict=True)), *(f"__{c} bigint" for c in COUNTS)])
 

@@ -132,7 +132,11 @@ FOUND = "doc_id long, tkey long, place int, windows int, hot boolean, at array<i
 
 
 def search_shard(pieces: list[bytes], doc: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each piece: at each of its windows the smallest document that has it."""
+    """For each piece: at each of its windows the smallest document that has it.
+
+    A shard's pieces are both its index and its queries, since a window may repeat in any of them. So
+    every window is found, by itself at least; what the search is for is its range, the suffixes of
+    all pieces that begin with the same words, and through it the smallest document among them."""
     words = Words(pieces)
     symbols = np.unique(words.hashes(), return_inverse=True)[1].astype(np.int64) + 1
     starts = words.bounds[:-1] + np.arange(len(pieces))
@@ -211,6 +215,7 @@ def marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found = written(search(pieces, length), "repeats")
     flagged = found.where("NOT hot").select("doc_id", "tkey", "place", "windows")
     hot = found.where("hot").select("doc_id", "tkey", "place", F.explode(F.arrays_zip("at", "h1", "h2")).alias("h")).select("doc_id", "tkey", (F.col("place") + F.col("h.at")).alias("place"), "h.h1", "h.h2")
+    hot = written(hot, "repeats-hot")  # read for the counts, the hot keys and the others
     smallest = hot.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     late = join_counted(hot, smallest, ["h1", "h2"]).where("least < doc_id").select("doc_id", "tkey", "place", F.lit(1).alias("windows"))
     spans = flagged.union(late).groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("place", (F.col("windows") + length - 1).alias("n"))).alias("spans"))
