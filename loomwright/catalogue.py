@@ -652,12 +652,15 @@ def drop_correlated(spark, d):
     return step(df, "drop_correlated", columns=["o_totalprice", "twice"], threshold=0.9)
 
 
-@query()
+BEST = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {kept}, l_returnflag FROM lineitem WHERE {better}"
+
+
+@query(BEST.format(kept="l_quantity, l_discount", better=" AND ".join(f"{f_sql(c, 'l_returnflag', 'lineitem')} > {f_sql('l_tax', 'l_returnflag', 'lineitem')}" for c in ("l_quantity", "l_discount"))))
 def select_k_best_f(spark, d):
     return step(lineitem(spark, d, *LINE_COLUMNS[:4], "l_quantity", "l_discount", "l_tax", "l_returnflag"), "select_k_best", target="l_returnflag", score="f_test", k=2, columns=["l_quantity", "l_discount", "l_tax"])
 
 
-@query()
+@query(BEST.format(kept="l_quantity", better=" AND ".join(f"{information_sql(bins_sql('l_quantity', 'lineitem'), 'l_returnflag', 'lineitem')} > {information_sql(bins_sql(c, 'lineitem'), 'l_returnflag', 'lineitem')}" for c in ("l_discount", "l_tax"))))
 def select_k_best_mi(spark, d):
     return step(lineitem(spark, d, *LINE_COLUMNS[:4], "l_quantity", "l_discount", "l_tax", "l_returnflag"), "select_k_best", target="l_returnflag", k=1, columns=["l_quantity", "l_discount", "l_tax"])
 
