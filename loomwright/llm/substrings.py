@@ -29,7 +29,7 @@ from loomwright.session import ship, written
 LENGTH = 50
 GRAM = 8
 #: Runs of one anchor in one shard at most.
-HOT = 512
+HOT = 2048
 #: Words of an index at most, but for one anchor's runs.
 INDEX_WORDS = 150_000
 
