@@ -167,3 +167,11 @@ def test_streams(spark, tmp_path):
 def test_rids_are_dense(spark):
     df = with_rid(spark.range(1000).repartition(7))
     assert sorted(r._rid for r in df.collect()) == list(range(1000))
+
+
+def test_rids_of_a_sorted_wide_frame(spark):
+    """The job that counts rows reads fewer bytes than the one that numbers them, and may have fewer partitions."""
+    wide = F.concat(*[F.sha2(F.concat("id", F.lit(k)).cast("string"), 512) for k in range(8)])
+    df = spark.range(20_000).select(F.col("id").alias("_rid"), ((F.col("id") * 7919) % 20_000).alias("v"), wide.alias("payload"))
+    rows = with_rid(get("sort_rows").fit_apply(df, {"by": ["v"], "ascending": False}), "place").select("v", "place", F.length("payload").alias("n"), F.hash("payload").alias("h")).collect()
+    assert all(r.place == 19_999 - r.v and r.n == 1024 for r in rows) and len(rows) == 20_000
