@@ -149,9 +149,9 @@ def index_like(spark, d):
 
 @query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {r4('(least(l_quantity, 40) - m) / s')} AS l_quantity FROM lineitem, (SELECT avg(least(l_quantity, 40)) AS m, stddev_pop(least(l_quantity, 40)) AS s FROM lineitem)")
 def ml_stages(spark, d):
-    """Two transforms as stages of a pyspark.ml pipeline."""
+    """Two transforms as stages of a pyspark.ml pipeline. The bound of 40 is a value; those of clip are percentiles."""
     df = lineitem(spark, d, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    return rounded(pipeline([{"op": "clip", "params": {"columns": ["l_quantity"], "upper": 40.0}}, {"op": "scale", "params": {"columns": ["l_quantity"]}}]).fit(df).transform(df))
+    return rounded(pipeline([{"op": "formula", "params": {"name": "l_quantity", "expr": "min(l_quantity, 40)"}}, {"op": "scale", "params": {"columns": ["l_quantity"]}}]).fit(df).transform(df))
 
 
 @query("SELECT 'order_id' AS \"column\", 'o_orderkey' AS raw, 'the key' AS note UNION ALL SELECT 'x_o_totalprice', 'o_totalprice', 'in euros'")

@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from loomwright import catalogue_io
 from loomwright.errors import EngineError
 from loomwright.operators import get
 from loomwright.pipeline import pipeline
@@ -148,6 +149,18 @@ def test_ml_pipeline(spark):
     assert [r.v for r in model.transform(df).collect()][1] == 0.0
 
 
+def test_ml_stages_bounds_by_value(spark, tmp_path):
+    """As its SQL has it: quantities are cut at 40, whatever share of them lies above, then scaled."""
+    values = [1.0, 10.0, 39.0, 40.0, 41.0, 50.0, 50.0]
+    lines = spark.createDataFrame([(k, 1, k, k, v) for k, v in enumerate(values)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    cut = [min(v, 40.0) for v in values]
+    mean = sum(cut) / len(cut)
+    std = (sum((v - mean) ** 2 for v in cut) / len(cut)) ** 0.5
+    got = {r.l_orderkey: r.l_quantity for r in catalogue_io.ml_stages(spark, str(tmp_path)).collect()}
+    assert got == {k: pytest.approx((v - mean) / std, abs=1e-4) for k, v in enumerate(cut)}
+
+
 def test_streams(spark, tmp_path):
     folder = str(tmp_path / "in")
     batch = spark.createDataFrame([(float(i), "a" if i % 2 else "b") for i in range(10)], "v double, c string").withColumn("t", F.lit("2024-01-01 10:00:00").cast("timestamp"))
