@@ -114,9 +114,9 @@ def semantic_type(f: dict) -> str:
     return "text" if ratio > TEXT_RATIO else "categorical"
 
 
-def column_profile(df: DataFrame, exact: bool | None = None) -> DataFrame:
-    """(column, dtype, semantic, rows, missing, unique); exact or estimated distinct counts, by default as facts decides."""
-    rows = [(c, f["dtype"].simpleString(), semantic_type(f), f["rows"], f["rows"] - f["n"], f["distinct"]) for c, f in facts(df, exact).items()]
+def column_profile(df: DataFrame, exact: bool | None = None, found: dict[str, dict] | None = None) -> DataFrame:
+    """(column, dtype, semantic, rows, missing, unique); exact or estimated distinct counts, by default as facts decides, or those of the facts found."""
+    rows = [(c, f["dtype"].simpleString(), semantic_type(f), f["rows"], f["rows"] - f["n"], f["distinct"]) for c, f in (facts(df, exact) if found is None else found).items()]
     return df.sparkSession.createDataFrame(rows, "column string, dtype string, semantic string, rows long, missing long, n_unique long")
 
 
@@ -219,9 +219,9 @@ def id_stats(df: DataFrame, name: str) -> DataFrame:
     return df.agg(F.count_distinct(col(name)).alias("distinct"), (F.count(col(name)) - F.count_distinct(col(name))).alias("duplicates"))
 
 
-def alerts(df: DataFrame) -> list[dict]:
+def alerts(df: DataFrame, found: dict[str, dict] | None = None) -> list[dict]:
     """Plain warnings from the facts."""
-    out, found = [], facts(df)
+    out, found = [], facts(df) if found is None else found
     rows = next(iter(found.values()))["rows"] if found else 0
     if not rows:
         return [{"alert": "empty", "column": None}]

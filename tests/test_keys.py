@@ -197,3 +197,11 @@ def test_few_distinct_values_are_counted_exactly(spark, monkeypatch):
     assert (got["few"]["distinct"], got["names"]["distinct"], got["none"]["distinct"]) == (2406, 7001, 0)
     assert 36_000 <= got["id"]["distinct"] <= 40_000
     assert {r["column"]: r["n_unique"] for r in profile.column_profile(df, exact=True).collect()} == {"id": 40_000, "few": 2406, "names": 7001, "none": 0}
+
+
+def test_overview_counts_exactly_at_any_size(spark, monkeypatch):
+    monkeypatch.setattr(profile, "EXACT_ROWS", 1_000)
+    monkeypatch.setattr(profile, "EXACT_DISTINCT", 1_000)
+    df = spark.range(20_000).selectExpr("id AS _rid", "id", "id % 7001 / 4.0 AS price")
+    columns = as_dicts(keys.run(spark, "dataset_overview", {"source": df})["columns"])
+    assert (columns["id"]["n_unique"], columns["price"]["n_unique"], columns["id"]["semantic"]) == (20_000, 7001, "id_like")
