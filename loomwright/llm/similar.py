@@ -1,13 +1,15 @@
-"""Near duplicates by word shingles, for similarities where one 64-bit fingerprint is too coarse.
-
-Texts of similarity 0.8 differ in some ten of 64 SimHash bits, far beyond what a trie can prune. So a
-text is also fingerprinted in parts: SAMPLES hash functions each pick about one shingle in `m`, m by
-the text's length so that a handful is picked, and the SimHash of a pick is the text's key there.
-Texts of similarity 0.8 share all of a pick of five with probability 0.8 ** 5, so some of 32 keys
-agree all but surely (1 - 0.67 ** 32). A text too short for picks has its whole set as a key, and the
-set less each one shingle. Keys meet in an equi-join, where long SimHashes of all shingles, at a bar
-some four standard errors too wide, only tell which texts may belong together. Texts chained by such
-loose links then meet with their whole shingle sets, and a link is what their Jaccard index says.
+"""Near duplicates by word shingles, at a similarity of their sets.
+
+Candidates come from the SimHash trie of op9 (simhash.links): each text's 64-bit fingerprint of all its
+shingles, self-joined within the Hamming budget. Texts of similarity 0.8 differ in some ten of these
+bits, which no trie can prune, so the trie also has help for what lies beyond its budget: SAMPLES
+hash functions each pick about one shingle in `m`, m by the text's length so that a handful is picked,
+and the SimHash of a pick is the text's key there. Texts of similarity 0.8 share all of a pick of five
+with probability 0.8 ** 5, so some of 32 keys agree all but surely (1 - 0.67 ** 32). A text too short
+for picks has its whole set as a key, and the set less each one shingle. Keys meet in an equi-join,
+where long SimHashes of all shingles, at a bar some four standard errors too wide, only tell which
+texts may belong together. Texts chained by links of the trie and of the keys then meet with their
+whole shingle sets, and a link is what their Jaccard index says.
 
 Each group gives the links of a spanning forest, found breadth first, never all pairs."""
 
@@ -22,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm.components import connected
-from loomwright.llm.dealing import dealt
-from loomwright.llm.simhash import fold, majority
+from loomwright.llm.dealing import dealt, join_counted
+from loomwright.llm.simhash import BUDGET, fold, links, majority
 from loomwright.llm.text import MIX, Words, mixed, powers, slices, window_hashes
 from loomwright.session import bounded_broadcast, ship, written
 
@@ -131,7 +133,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def outlines(docs: DataFrame, n: int, similarity: float) -> DataFrame:
-    """(doc_id, tkey, size, print, keys) of every row with a doc_id and words; tkey is the text's hash."""
+    """(doc_id, tkey, size, fp, print, keys) of every row with a doc_id and words; tkey is the text's hash, fp the 64-bit SimHash."""
     ship(docs.sparkSession)
     rows = keyed(docs)
 
@@ -139,12 +141,12 @@ def outlines(docs: DataFrame, n: int, similarity: float) -> DataFrame:
         for batch in batches:
             for first, texts in slices(batch.column("text"), 1 << 20):
                 hashes, bounds = shingles(texts, n)
-                prints, size = long_prints(hashes, bounds), np.diff(bounds)
+                prints, size, fp = long_prints(hashes, bounds), np.diff(bounds), majority(hashes, bounds).view(np.int64)
                 own = keys(hashes, bounds, similarity)
                 some = np.flatnonzero(size)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(first + some)) for c in ("doc_id", "tkey")), pa.array(size[some]), pa.array([prints[i].tobytes() for i in some], pa.binary()), pa.array([own[i] for i in some], pa.list_(pa.int64()))], names=["doc_id", "tkey", "size", "print", "keys"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(first + some)) for c in ("doc_id", "tkey")), pa.array(size[some]), pa.array(fp[some]), pa.array([prints[i].tobytes() for i in some], pa.binary()), pa.array([own[i] for i in some], pa.list_(pa.int64()))], names=["doc_id", "tkey", "size", "fp", "print", "keys"])
 
-    return rows.mapInArrow(run, "doc_id long, tkey long, size long, print binary, keys array<bigint>")
+    return rows.mapInArrow(run, "doc_id long, tkey long, size long, fp long, print binary, keys array<bigint>")
 
 
 def shingle_sets(rows: DataFrame, n: int) -> DataFrame:
@@ -240,10 +242,18 @@ def loose_links(nodes: DataFrame, most: int) -> DataFrame:
     return links_of_groups(dealt(each, ["key"], GROUP).join(nodes.select("id", "print"), "id"), "key", most)
 
 
+def trie_links(nodes: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """(a, b) ids of nodes (id, fp) that the trie links: each node to the smallest of its fingerprint, these to each other within the budget."""
+    own = nodes.select("id", "fp")
+    firsts = written(own.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "similar-fingerprints")
+    same = join_counted(own, firsts.where("n > 1"), ["fp"]).where("id > first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    return same.union(links(firsts.select(F.col("first").alias("id"), "fp"), budget).select("a", "b"))
+
+
 def similar_links(docs: DataFrame, nodes: DataFrame, n: int, similarity: float) -> DataFrame:
-    """(a, b) ids of nodes (id, tkey, print, keys) whose shingle sets are that similar: chains of them reach all that such pairs join."""
+    """(a, b) ids of nodes (id, tkey, fp, print, keys) whose shingle sets are that similar: chains of them reach all that such pairs join."""
     most = distance(similarity - SLACK)
-    chained = written(connected(loose_links(nodes, most)).select(F.col("node").alias("id"), "component"), "similar-loose")
+    chained = written(connected(trie_links(nodes).union(loose_links(nodes, most))).select(F.col("node").alias("id"), "component"), "similar-loose")
     asked = nodes.join(chained, "id").select(F.col("id").alias("doc_id"), "tkey", "id", "print")
     sets = written(shingle_sets(keyed(docs).join(asked, ["doc_id", "tkey"]).dropDuplicates(["id"]), n), "similar-sets")
     return links_of_groups(dealt(chained, ["component"], SETS_GROUP).join(sets, "id"), "component", most, similarity)
@@ -257,7 +267,7 @@ def similar_documents(docs: DataFrame, n: int = SHINGLE, similarity: float = SIM
     found = written(outlines(docs, n, similarity), "similar")
     groups = written(found.groupBy("size", "print").agg(F.min("doc_id").alias("id")), "similar-distinct")
     nodes = found.join(groups, (F.col("doc_id") == F.col("id")) & (found["size"] == groups["size"]) & (found["print"] == groups["print"]), "left_semi").dropDuplicates(["doc_id"])
-    nodes = nodes.select(F.col("doc_id").alias("id"), "tkey", "print", "keys")
+    nodes = nodes.select(F.col("doc_id").alias("id"), "tkey", "fp", "print", "keys")
     labels = connected(similar_links(docs, nodes, n, similarity))
     owner = groups.join(labels, F.col("id") == F.col("node"), "left").select("size", "print", F.coalesce("component", "id").alias("component_id"))
     return found.join(owner, ["size", "print"]).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))

@@ -87,6 +87,25 @@ def test_hot_groups_are_dealt(spark, monkeypatch):
     assert got == {**dict.fromkeys(range(80), 0), 100: 100}
 
 
+def test_candidates_of_the_trie(spark, monkeypatch):
+    """Texts within the budget of the fingerprints' trie meet without any key in common; the Jaccard index decides all the same."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(30):
+        base = [f"t{k}x{rng.randrange(10**6)}" for _ in range(2000)]
+        rows += [row(10 * k + j, " ".join(base[: len(base) - j])) for j in range(4)]
+    sets = {r[0]: gram(r[1]) for r in rows}
+    prints = {i: similar.majority(*similar.shingles([text.encode()], similar.SHINGLE))[0] for i, text, *_ in rows}
+    close = lambda i, j: int(prints[i] ^ prints[j]).bit_count() <= similar.BUDGET
+    want = {i: next((j for j in sorted(sets) if j // 10 == i // 10 and j < i and close(i, j)), None) for i in sets}
+    monkeypatch.setattr(similar, "keys", lambda hashes, bounds, similarity: [[] for _ in bounds[1:]])
+    got = {r.doc_id: r.component_id for r in similar.similar_documents(docs(spark, rows)).collect()}
+    assert sum(j is not None for j in want.values()) >= 60
+    assert all(got[i] == got[j] < i for i, j in want.items() if j is not None)
+    alone = {r.doc_id: r.component_id for r in similar.similar_documents(docs(spark, rows), similarity=1.0).collect()}
+    assert alone == {i: i for i in sets}
+
+
 @pytest.mark.parametrize("rows", [None, []])
 def test_stages_keep_the_columns(spark, rows):
     frame = docs(spark, rows)
